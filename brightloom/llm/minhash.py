@@ -8,8 +8,9 @@ coordinates estimate the Jaccard similarity with the concentration of independen
 Steps: sketch -> one representative for each distinct shingle set -> banding (``bands`` of ``rows`` coordinates; at
 similarity 0.75 the default misses a pair with probability 2e-5) -> exact check on the full sets -> components. In a
 bucket, members are first compared with the bucket's least document; then, among what this leaves in different
-components, all pairs of different components. So a group of n near copies costs n comparisons and not n squared, and
-no pair that meets in a bucket is left undecided.
+components, all pairs of different components whose sketches may belong to similar sets (four bits of each coordinate are
+compared; a pair at the threshold fails this with probability 3e-6). So a group of n near copies costs n exact
+comparisons and not n squared, and texts that only share a passage are told apart by their sketches.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .graph import components
 from .shingles import U64, WordHashes, as_binary, mix, pieces, set_name, shingle_sets
 from .workspace import Workspace
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 75, 40, 5
+SHINGLE, THRESHOLD, COORDINATES, BANDS, ROWS = 5, 75, 512, 40, 5
 #: Bits of the filter that keeps texts without candidates out of the second pass; its size never grows.
 FILTER_BITS = 1 << 26
 _BUCKET_BITS = 32768
@@ -58,18 +59,43 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketcher(size: int, bands: int, rows: int):
+def planes(sketches: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate as bit planes, 64 coordinates to a word: (texts x 4 * words, int64)."""
+    n, t = sketches.shape
+    words = -(-t // 64)
+    bits = np.zeros((n, 4, words * 64), dtype=np.uint8)
+    scrambled = mix(sketches)
+    for j in range(4):
+        bits[:, j, :t] = (scrambled >> U64(j)) & U64(1)
+    return np.packbits(bits, axis=2, bitorder="little").view(np.int64).reshape(n, 4 * words)
+
+
+def most_differing(t: int, threshold: int, sigmas: float = 4.5) -> int:
+    """So many of t coordinates differ at most in their four bits for sets at the threshold, but for the upper tail
+    beyond ``sigmas`` standard deviations (3e-6 for the default)."""
+    p = (1 - threshold / 100) * 15 / 16
+    return int(t * p + sigmas * (t * p * (1 - p)) ** 0.5) + 1
+
+
+def _differing(t: int) -> str:
+    words = -(-t // 64)
+    return " + ".join("bit_count(" + " | ".join(f"(a.planes[{j * words + w}] ^ b.planes[{j * words + w}])" for j in range(4)) + ")" for w in range(words))
+
+
+def _sketcher(size: int, t: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0), as_binary(batch.column(1)).to_pylist()
             for a, b in pieces(texts):
                 values, starts = shingle_sets(texts[a:b], size, cache)
-                keys = band_keys(sketch(values, starts, bands * rows), bands, rows)
+                drawn = sketch(values, starts, t)
+                keys, bits = band_keys(drawn[:, : bands * rows], bands, rows), planes(drawn)
                 n = np.diff(starts)
                 names = pa.array([set_name(values[starts[k] : starts[k + 1]]) if n[k] else None for k in range(b - a)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), names, lists], ["doc_id", "n_shingles", "set_id", "keys"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bits.shape[1], bits.shape[1], dtype=np.int32)), pa.array(bits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), names, lists, flat], ["doc_id", "n_shingles", "set_id", "keys", "planes"])
     return run
 
 
@@ -120,7 +146,7 @@ def _verified(work: Workspace, docs: DataFrame, pairs: DataFrame, size: int, thr
     return edges
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string; others ignored).
 
     Two documents are linked when 100 * intersection >= threshold * union of their shingle sets; component_id is the
@@ -131,7 +157,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     work = Workspace(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = work.save(
-        docs.mapInArrow(_sketcher(size, bands, rows), "doc_id long, n_shingles long, set_id binary, keys array<long>"), "sketches")
+        docs.mapInArrow(_sketcher(size, coordinates, bands, rows), "doc_id long, n_shingles long, set_id binary, keys array<long>, planes array<long>"), "sketches")
     known = sketches.filter("doc_id is not null and n_shingles > 0")
     classes = work.save(known.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "classes")
     # rows that share an id are one document, whichever their sets: the least id of a set links with all of them
@@ -159,10 +185,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     )
     labelled = work.save(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("key"))
-    left = work.save(labelled.join(mixed.hint("merge"), "key", "left_semi"), "mixed")
+    left = labelled.join(mixed.hint("merge"), "key", "left_semi")
+    left = work.save(left.join(leaders.select(F.col("doc_id").alias("node"), "planes").hint("merge"), "node"), "mixed")
     a, b = left.alias("a"), left.alias("b")
     second = (
-        a.join(b.hint("merge"), F.expr("a.key = b.key and a.node < b.node and a.component <> b.component and a.node <> a.hub and " + near.format("a.n", "b.n")))
+        a.join(b.hint("merge"), F.expr("a.key = b.key and a.node < b.node and a.component <> b.component and a.node <> a.hub and " + near.format("a.n", "b.n")
+                                        + f" and {_differing(coordinates)} <= {most_differing(coordinates, threshold)}"))
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
     )
     second = work.save(second, "second")
