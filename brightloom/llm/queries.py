@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, minhash
+from . import bpe, embeddings, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,16 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
 }
 
 ORACLE_SQL: dict[str, str] = {}
