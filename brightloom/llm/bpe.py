@@ -202,7 +202,7 @@ class WordBpe:
         """Encode the words that are not known yet."""
         if len(self.ids) > self.most_words:
             self.ids.clear()
-        new = set(words) - self.ids.keys()
+        new = {w for w in set(words) if w not in self.ids}
         for w in new & self.added.keys():
             self.ids[w] = array("I", [self.added[w]]).tobytes()
         table = dict(enumerate(self.bytes))

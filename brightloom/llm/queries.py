@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, minhash, mixing, pii, toxicity, winnow
+from . import bpe, embeddings, hmm, license_scan, minhash, mixing, pii, secret_scan, toxicity, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.told(_table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.told(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,6 +59,9 @@ QUERIES = {
     "op2_pii_spans": op2_pii_spans,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
+    "op7_hmm_scores": op7_hmm_scores,
+    "op8_license_scan": op8_license_scan,
+    "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
 }

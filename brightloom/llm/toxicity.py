@@ -98,6 +98,20 @@ class Model:
         return 1 / (1 + exp(-max(-60.0, min(60.0, z))))
 
 
+class Known(dict):
+    """word -> its difference of log-likelihoods; forgets all beyond ``most`` words."""
+
+    def __init__(self, model: Model, most: int = 400_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = x = self.model.word(word)
+        return x
+
+
 def fit_counts(toxic: dict[str, int], ordinary: dict[str, int], shared: Shared) -> Model:
     """The model of two tables of n-gram counts."""
     parts = []
@@ -180,17 +194,12 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features of each labelled text by the model of the other half."""
-        known: list[dict[str, float]] = [{}, {}]
+        known = [Known(m) for m in halves.value]
         for batch in batches:
             rows = []
             for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 other = 1 - part % 2
-                own = words(text)
-                for w in set(own) - known[other].keys():
-                    known[other][w] = halves.value[other].word(w)
-                rows.append(halves.value[other].features([known[other][w] for w in own]))
-                if len(known[other]) > 300_000:
-                    known[other].clear()
+                rows.append(halves.value[other].features([known[other][w] for w in words(text)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(3))], ["part", "a", "b", "c"])
 
     judged = sample.mapInArrow(judge, "part int, a double, b double, c double").toArrow()
@@ -212,16 +221,9 @@ def scores(docs: DataFrame, model: Model, most_words: int = 400_000) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = held.value, {}
+        model, known = held.value, Known(held.value, most_words)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                own = words(text)
-                for w in set(own) - known.keys():
-                    known[w] = model.word(w)
-                out.append(model.score([known[w] for w in own]))
-                if len(known) > most_words:
-                    known.clear()
+            out = [model.score([known[w] for w in words(text)]) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -251,16 +253,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = held.value, {}
+        model, known = held.value, Known(held.value)
         for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                own = words(text)
-                for w in set(own) - known.keys():
-                    known[w] = model.word(w)
-                keep.append(model.score([known[w] for w in own]) < cut)
-                if len(known) > 400_000:
-                    known.clear()
+            keep = [model.score([known[w] for w in words(text)]) < cut for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
