@@ -8,8 +8,8 @@ coordinates estimate the Jaccard similarity with the concentration of independen
 Steps: sketch -> one representative for each distinct shingle set -> banding (``bands`` of ``rows`` coordinates; at
 similarity 0.75 the default misses a pair with probability 2e-5) -> exact check on the full sets -> components. In a
 bucket, members are first compared with the bucket's least document; then, among what this leaves in different
-components, all pairs of different components whose sketches may belong to similar sets (four bits of each coordinate are
-compared; a pair at the threshold fails this with probability 3e-6). So a group of n near copies costs n exact
+components, all pairs of different components whose sketches may belong to similar sets (two bits of each coordinate are
+compared; a pair at the threshold fails this with probability 3e-5). So a group of n near copies costs n exact
 comparisons and not n squared, and texts that only share a passage are told apart by their sketches.
 """
 
@@ -27,6 +27,8 @@ from .shingles import U64, WordHashes, as_binary, mix, pieces, set_name, shingle
 from .workspace import Workspace
 
 SHINGLE, THRESHOLD, COORDINATES, BANDS, ROWS = 5, 75, 512, 40, 5
+#: Bits of each coordinate that pairs of a bucket are compared by.
+PLANES = 2
 #: Bits of the filter that keeps texts without candidates out of the second pass; its size never grows.
 FILTER_BITS = 1 << 26
 _BUCKET_BITS = 32768
@@ -60,26 +62,26 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def planes(sketches: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate as bit planes, 64 coordinates to a word: (texts x 4 * words, int64)."""
+    """Two bits of each coordinate as bit planes, 64 coordinates to a word: (texts x 2 * words, int64)."""
     n, t = sketches.shape
     words = -(-t // 64)
-    bits = np.zeros((n, 4, words * 64), dtype=np.uint8)
+    bits = np.zeros((n, PLANES, words * 64), dtype=np.uint8)
     scrambled = mix(sketches)
-    for j in range(4):
+    for j in range(PLANES):
         bits[:, j, :t] = (scrambled >> U64(j)) & U64(1)
-    return np.packbits(bits, axis=2, bitorder="little").view(np.int64).reshape(n, 4 * words)
+    return np.packbits(bits, axis=2, bitorder="little").view(np.int64).reshape(n, PLANES * words)
 
 
-def most_differing(t: int, threshold: int, sigmas: float = 4.5) -> int:
-    """So many of t coordinates differ at most in their four bits for sets at the threshold, but for the upper tail
-    beyond ``sigmas`` standard deviations (3e-6 for the default)."""
-    p = (1 - threshold / 100) * 15 / 16
+def most_differing(t: int, threshold: int, sigmas: float = 4.0) -> int:
+    """So many of t coordinates differ at most in their bits for sets at the threshold, but for the upper tail beyond
+    ``sigmas`` standard deviations (3e-5 for the default)."""
+    p = (1 - threshold / 100) * (1 - 2.0**-PLANES)
     return int(t * p + sigmas * (t * p * (1 - p)) ** 0.5) + 1
 
 
 def _differing(t: int) -> str:
     words = -(-t // 64)
-    return " + ".join("bit_count(" + " | ".join(f"(a.planes[{j * words + w}] ^ b.planes[{j * words + w}])" for j in range(4)) + ")" for w in range(words))
+    return " + ".join("bit_count(" + " | ".join(f"(a.planes[{j * words + w}] ^ b.planes[{j * words + w}])" for j in range(PLANES)) + ")" for w in range(words))
 
 
 def _sketcher(size: int, t: int, bands: int, rows: int):
@@ -186,11 +188,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     labelled = work.save(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("key"))
     left = labelled.join(mixed.hint("merge"), "key", "left_semi")
-    left = work.save(left.join(leaders.select(F.col("doc_id").alias("node"), "planes").hint("merge"), "node"), "mixed")
+    left = work.save(left.join(leaders.select(F.col("doc_id").alias("node"), "planes", "keys").hint("merge"), "node"), "mixed")
     a, b = left.alias("a"), left.alias("b")
     second = (
         a.join(b.hint("merge"), F.expr("a.key = b.key and a.node < b.node and a.component <> b.component and a.node <> a.hub and " + near.format("a.n", "b.n")
-                                        + f" and {_differing(coordinates)} <= {most_differing(coordinates, threshold)}"))
+                                        + f" and {_differing(coordinates)} <= {most_differing(coordinates, threshold)}"
+                                        + " and array_intersect(a.keys, b.keys)[0] = a.key"))  # once, in the first bucket that they share
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
     )
     second = work.save(second, "second")
