@@ -80,7 +80,7 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """A vocabulary whose words end in a suffix."""
 
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 350_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -155,7 +155,7 @@ class WordBpe:
                 key = (states[start], token)
                 good = pairs.get(key)
                 if good is None:
-                    if len(pairs) > 500_000:
+                    if len(pairs) > 250_000:
                         pairs.clear()
                     good = pairs[key] = self._stands(token) and (not start or self._follows(*key))
                 if good:

@@ -13,10 +13,11 @@ nothing. Label, language, source and id are no inputs of a score.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log
+from itertools import chain
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -29,112 +30,115 @@ ORDER, DISCOUNT, MOST_TOXIC, MOST_ORDINARY, CUT = 5, 0.75, 8_000, 16_000, 0.3
 _BEGIN, _END = "\x02" * (ORDER - 1), "\x03"
 
 
-def grams(word: str) -> list[str]:
-    """The character n-grams of a word with its borders."""
-    padded = _BEGIN + word + _END
-    return [padded[k : k + ORDER] for k in range(len(padded) - ORDER + 1)]
-
-
 def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-class Shared:
-    """The lower orders: interpolated Kneser-Ney on continuation counts of both classes together."""
-
-    def __init__(self, seen):
-        self.levels: list[tuple[dict, dict, dict]] = []
-        types = set(seen)
-        for _ in range(ORDER - 1):
-            count: dict[str, int] = Counter(g[1:] for g in types)
-            total: dict[str, int] = defaultdict(int)
-            kinds: dict[str, int] = defaultdict(int)
-            for g, n in count.items():
-                total[g[:-1]] += n
-                kinds[g[:-1]] += 1
-            self.levels.append((count, total, kinds))
-            types = set(count)
-        self.floor = 1 / (len(self.levels[-1][0]) + 1)
-        self.known: dict[str, float] = {}
-
-    def probability(self, gram: str, level: int = 0) -> float:
-        """P(last character | those before it); ``gram`` has ORDER - 1 - level characters."""
-        if level == ORDER - 1:
-            return self.floor
-        known = self.known.get(gram)
-        if known is None:
-            count, total, kinds = self.levels[level]
-            below = self.probability(gram[1:], level + 1)
-            n = total.get(gram[:-1], 0)
-            known = self.known[gram] = (max(count.get(gram, 0) - DISCOUNT, 0) + DISCOUNT * kinds[gram[:-1]] * below) / n if n else below
-        return known
+def gram_codes(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The character n-grams of words with their borders, as rows of code points, and where each word's begin."""
+    lens = np.array([len(w) for w in own], dtype=np.int64)
+    flat = np.frombuffer("".join([_BEGIN + w + _END for w in own]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = np.concatenate([[0], np.cumsum(lens + 1)])
+    at = np.arange(starts[-1]) + np.repeat(np.arange(len(own)) * (ORDER - 1), lens + 1)
+    return np.lib.stride_tricks.sliding_window_view(flat, ORDER)[at] if len(own) else np.zeros((0, ORDER), np.uint32), starts
+
+
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row of code points."""
+    out = np.zeros(len(codes), dtype=np.uint64)
+    for j in range(codes.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[:, j].astype(np.uint64) + np.uint64(1)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def shared_chances(codes: np.ndarray) -> np.ndarray:
+    """P(last character | the ORDER - 2 before it) of each distinct n-gram, by interpolated Kneser-Ney on counts of
+    distinct continuations, which both classes share: from single characters up."""
+    levels = []
+    rows = np.arange(len(codes))  # a representative of each type of the level above
+    for m in range(ORDER - 1, 0, -1):
+        _, first, inverse, count = np.unique(keys_of(codes[rows, ORDER - m :]), return_index=True, return_inverse=True, return_counts=True)
+        levels.append((rows[first], inverse, count))
+        rows = rows[first]
+    below = np.full(len(levels[-1][0]), 1 / (len(levels[-1][0]) + 1))
+    for k in range(len(levels) - 1, -1, -1):
+        own, _, count = levels[k]
+        m = ORDER - 1 - k
+        _, context = np.unique(keys_of(codes[own, ORDER - m : ORDER - 1]), return_inverse=True)
+        total, kinds = np.bincount(context, weights=count), np.bincount(context)
+        chance = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds[context] * below) / total[context]
+        below = chance[levels[k][1]]  # of each type one level up
+    return below
 
 
 @dataclass
 class Model:
-    """log P_toxic - log P_ordinary of each n-gram seen, and of any other after a context seen."""
+    """log P_toxic - log P_ordinary of each n-gram seen, and of any other after a context seen, by sorted keys."""
 
-    gram: dict[str, float]
-    context: dict[str, float]
+    gram: np.ndarray
+    gram_value: np.ndarray
+    context: np.ndarray
+    context_value: np.ndarray
     weights: list[float] = field(default_factory=lambda: [0.0] * 4)
 
-    def word(self, word: str) -> float:
-        total, get, after = 0.0, self.gram.get, self.context.get
-        for g in grams(word):
-            x = get(g)
-            total += after(g[:-1], 0.0) if x is None else x
-        return total
-
-    def features(self, values: list[float]) -> tuple[float, float, float]:
+    def words(self, own: list[str]) -> np.ndarray:
+        """The differences of whole words."""
+        codes, starts = gram_codes(own)
+        if not len(own) or not len(self.gram):
+            return np.zeros(len(own))
+        key = keys_of(codes)
+        at = np.minimum(np.searchsorted(self.gram, key), len(self.gram) - 1)
+        value, hit = self.gram_value[at].astype(float), self.gram[at] == key
+        if not hit.all():
+            key = keys_of(codes[~hit, : ORDER - 1])
+            at = np.minimum(np.searchsorted(self.context, key), len(self.context) - 1)
+            value[~hit] = np.where(self.context[at] == key, self.context_value[at], 0.0)
+        return np.add.reduceat(value, starts[:-1])
+
+    def features(self, values: np.ndarray) -> tuple[float, float, float]:
         """The mean over the words, the largest, and the mean of the largest three."""
-        if not values:
+        if not len(values):
             return 0.0, 0.0, 0.0
-        top = sorted(values)[-3:] if len(values) < 16 else np.partition(np.array(values), -3)[-3:].tolist()
-        top.sort()
-        return sum(values) / len(values), top[-1], sum(max(x, 0.0) for x in top) / 3
+        top = np.partition(values, -3)[-3:] if len(values) > 3 else values
+        return float(values.mean()), float(top.max()), float(np.maximum(top, 0).sum() / 3)
 
-    def score(self, values: list[float]) -> float:
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(values), strict=True))
+    def score(self, features: tuple[float, float, float]) -> float:
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features, strict=True))
         return 1 / (1 + exp(-max(-60.0, min(60.0, z))))
 
 
-class Known(dict):
-    """word -> its difference of log-likelihoods; forgets all beyond ``most`` words."""
-
-    def __init__(self, model: Model, most: int = 400_000):
-        super().__init__()
-        self.model, self.most = model, most
+class Judge:
+    """Features of texts, with a bounded memory of words."""
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = x = self.model.word(word)
-        return x
+    def __init__(self, model: Model, most: int = 200_000):
+        self.model, self.most, self.known = model, most, {}
 
+    def features(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
+        out: list[tuple[float, float, float]] = []
+        for at in range(0, len(texts), 200):
+            split = [words(t) for t in texts[at : at + 200]]
+            if len(self.known) > self.most:
+                self.known.clear()
+            new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
+            self.known.update(zip(new, self.model.words(new).tolist(), strict=True))
+            get = self.known.__getitem__
+            out += [self.model.features(np.fromiter(map(get, own), dtype=float, count=len(own))) for own in split]
+        return out
 
-def fit_counts(toxic: dict[str, int], ordinary: dict[str, int], shared: Shared) -> Model:
-    """The model of two tables of n-gram counts."""
-    parts = []
-    for counts in (toxic, ordinary):
-        total: dict[str, int] = defaultdict(int)
-        kinds: dict[str, int] = defaultdict(int)
-        for g, n in counts.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        parts.append((counts, total, kinds))
 
-    def left(context: str, part) -> float:
-        n = part[1].get(context, 0)
-        return DISCOUNT * part[2][context] / n if n else 1.0
-
-    def chance(g: str, part) -> float:
-        n = part[1].get(g[:-1], 0)
-        below = shared.probability(g[1:])
-        return (max(part[0].get(g, 0) - DISCOUNT, 0) + DISCOUNT * part[2][g[:-1]] * below) / n if n else below
-
-    gram = {g: log(chance(g, parts[0]) / chance(g, parts[1])) for g in toxic.keys() | ordinary.keys()}
-    context = {c: log(left(c, parts[0]) / left(c, parts[1])) for c in parts[0][1].keys() | parts[1][1].keys()}
-    return Model(gram, context)
+def fit_counts(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray) -> Model:
+    """The model of two columns of n-gram counts; ``shared`` has the lower orders' chances."""
+    context, inverse = np.unique(keys_of(codes[:, : ORDER - 1]), return_inverse=True)
+    logs, left = [], []
+    for count in (toxic, ordinary):
+        total, kinds = np.bincount(inverse, weights=count, minlength=len(context)), np.bincount(inverse, weights=count > 0, minlength=len(context))
+        rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        left.append(rest)
+        logs.append(np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total[inverse], 1) + rest[inverse] * shared))
+    key = keys_of(codes)
+    order = np.argsort(key)
+    return Model(key[order], (logs[0] - logs[1])[order].astype(np.float32), context, np.log(left[0] / left[1]).astype(np.float32))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> list[float]:
@@ -154,19 +158,24 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class and half, text) -> (gram, four counts)."""
+    def told(tables: list[Counter]) -> pa.RecordBatch:
+        codes = [gram_codes(list(t)) for t in tables]
+        part = np.repeat(np.arange(4), [len(c) for c, _ in codes])
+        weight = np.concatenate([np.repeat(np.fromiter(t.values(), dtype=np.int64, count=len(t)), np.diff(starts)) for t, (_, starts) in zip(tables, codes, strict=True)])
+        codes = np.concatenate([c for c, _ in codes])
+        _, first, inverse = np.unique(keys_of(codes), return_index=True, return_inverse=True)
+        text = np.ascontiguousarray(codes[first]).tobytes().decode("utf-32-le", "surrogatepass")
+        counts = [np.bincount(inverse[part == k], weights=weight[part == k], minlength=len(first)).astype(np.int64) for k in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array([text[k : k + ORDER] for k in range(0, len(text), ORDER)], pa.string()), *map(pa.array, counts)], ["gram", "c0", "c1", "c2", "c3"])
+
     tables = [Counter() for _ in range(4)]
     for batch in batches:
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tables[k].update(words(text))
-    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for k, table in enumerate(tables):
-        for w, n in table.items():
-            for g in grams(w):
-                out[g][k] += n
-    keys = list(out)
-    for at in range(0, len(keys), 50_000):
-        part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([out[g][k] for g in part], pa.int64()) for k in range(4))], ["gram", "c0", "c1", "c2", "c3"])
+            if sum(map(len, tables)) > 150_000:
+                yield told(tables)
+                tables = [Counter() for _ in range(4)]
+    yield told(tables)
 
 
 def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY) -> Model:
@@ -185,27 +194,29 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
     counted = sample.mapInArrow(_counter, "gram string, c0 long, c1 long, c2 long, c3 long").groupBy("gram").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
     parts: list[dict[str, int]] = [{}, {}, {}, {}]
     table = counted.toArrow()  # n-grams of the bounded sample
-    names = table.column(0).to_pylist()
-    for k in range(4):
-        parts[k] = {g: n for g, n in zip(names, table.column(k + 1).to_pylist(), strict=True) if n}
-    shared = Shared(set().union(*parts))
-    both = [Counter(parts[0]) + Counter(parts[1]), Counter(parts[2]) + Counter(parts[3])]
-    halves = work.spark.sparkContext.broadcast([fit_counts(parts[2 + k], parts[k], shared) for k in range(2)])
+    codes = np.frombuffer("".join(table.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, ORDER)
+    parts = [table.column(k + 1).to_numpy().astype(float) for k in range(4)]
+    del table
+    order = np.argsort(keys_of(codes))
+    codes, parts = codes[order], [p[order] for p in parts]
+    shared = shared_chances(codes)
+    halves = work.spark.sparkContext.broadcast([fit_counts(codes, parts[2 + k], parts[k], shared) for k in range(2)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features of each labelled text by the model of the other half."""
-        known = [Known(m) for m in halves.value]
+        judges = [Judge(m, 100_000) for m in halves.value]
         for batch in batches:
-            rows = []
-            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                other = 1 - part % 2
-                rows.append(halves.value[other].features([known[other][w] for w in words(text)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(3))], ["part", "a", "b", "c"])
+            part = batch.column(0).to_numpy()
+            for half in (0, 1):
+                own = batch.filter(pa.array(part % 2 == half))
+                rows = judges[1 - half].features(own.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(3))], ["part", "a", "b", "c"])
 
     judged = sample.mapInArrow(judge, "part int, a double, b double, c double").toArrow()
     seen = np.column_stack([c.to_numpy().astype(float) for c in judged.columns])
     seen = seen[np.lexsort(seen.T)]
-    model = fit_counts(both[1], both[0], shared)
+    model = fit_counts(codes, parts[2] + parts[3], parts[0] + parts[1], shared)
+    halves.unpersist()
     toxic = seen[:, 0] >= 2
     if 0 < toxic.sum() < len(seen):
         weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
@@ -216,14 +227,14 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
     return model
 
 
-def scores(docs: DataFrame, model: Model, most_words: int = 400_000) -> DataFrame:
+def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score for every row of ``docs``: 0 to 1, higher where toxicity is likelier."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = held.value, Known(held.value, most_words)
+        model, judge = held.value, Judge(held.value)
         for batch in batches:
-            out = [model.score([known[w] for w in words(text)]) for text in batch.column(1).to_pylist()]
+            out = [model.score(f) for f in judge.features(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -253,9 +264,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = held.value, Known(held.value)
+        model, judge = held.value, Judge(held.value)
         for batch in batches:
-            keep = [model.score([known[w] for w in words(text)]) < cut for text in batch.column(at).to_pylist()]
+            keep = [model.score(f) < cut for f in judge.features(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
