@@ -243,7 +243,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     ``docs`` has doc_id and text, other columns are ignored; ``path`` names the vocabulary file on every executor.
     A null text counts as empty; an empty text has no ids and decodes to ''. Repeated rows stay repeated, doc_id may
-    be null. Added tokens that a text spells out become their own ids, as the library does it."""
+    be null. Added tokens that a text spells out become their own ids, as the library does it. Texts are normalised by
+    Python's Unicode tables: combining marks newer than those may be ordered differently."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

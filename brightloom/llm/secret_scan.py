@@ -1,6 +1,6 @@
 """Secret scans by a random forest over candidate strings (operator 9), with DataFrame functions only.
 
-Candidates are the runs of 16 or more of [A-Za-z0-9+/=_-] in a whole text. Each is described by its length, its
+Candidates are the runs of 16 or more of [A-Za-z0-9+/_-] in a whole text, with the padding after them. Each is described by its length, its
 character classes and the changes between them, how much of it common words cover, whether it looks like a path, and
 the words before and after it. A random forest trained on labelled findings (MLlib) removes false positives. Its trees
 become one SQL expression, so that scanning is row by row inside the JVM: nothing is shuffled, and a text with very
@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = "[A-Za-z0-9+/=_-]{16,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
 CUT, TREES, DEPTH, SEED, FINDINGS, CONTEXT, MASK = 0.5, 25, 6, 17, 6000, 40, "<secret>"
 #: Common parts of identifiers and prose, for the coverage of a candidate: fixed values.
 WORDS = (
@@ -80,7 +80,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     benign = [
         f"substring({long}, 1, {pick(6, '32', '40', '64')})", f"concat_ws('_', {', '.join(word[:3])}, {word[3]})", f"concat('/', concat_ws('/', {', '.join(word[:4])}))",
         f"concat(initcap({word[0]}), initcap({word[1]}), initcap({word[2]}), initcap({word[3]}))", f"substring(conv(substring({long}, 1, 15), 16, 10), 1, {size(7, 16, 19)})",
-        f"repeat({pick(8, *quote('=', '-', '_', 'a', '=-'))}, {size(9, 16, 60)})", f"concat_ws('-', {', '.join(word[:5])})",
+        f"repeat({pick(8, *quote('0', '-', '_', 'a', '_-'))}, {size(9, 16, 60)})", f"concat_ws('-', {', '.join(word[:5])})",
         f"concat(substring({long}, 1, 8), '-', substring({long}, 9, 4), '-', substring({long}, 13, 4), '-', substring({long}, 17, 4), '-', substring({long}, 21, 12))",
         f"concat({', '.join(word[:5])})", f"concat(repeat({pick(10, *quote('0', '9', '12', '7'))}, 16))",
     ]
