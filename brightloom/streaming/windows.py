@@ -18,6 +18,8 @@ def running_totals(stream: DataFrame, group: str, value: str) -> DataFrame:
 
 def windowed(stream: DataFrame, time: str, length: str, late: str, *keys: str, value: str | None = None) -> DataFrame:
     """Counts (and sums) in tumbling windows; rows later than the watermark are left out."""
+    if stream.isStreaming and dict(stream.dtypes)[time] == "timestamp_ntz":  # watermarks need an instant
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     more = [F.sum(value).alias("total")] if value else []
     return (
         stream.withWatermark(time, late).groupBy(F.window(time, length), *keys).agg(F.count("*").alias("n"), *more)
