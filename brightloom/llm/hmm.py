@@ -232,15 +232,21 @@ def score(docs: DataFrame, states: int = STATES, most_words: int = MOST_WORDS, r
     ends = training.count()
     n, v = known["n"] + ends, known["v"] + (1 if ends else 0)
     mass = n + ADD * (v + 1)
-    top = counts.orderBy(F.desc("c"), "word").limit(most_words).toArrow()
-    frequent, often = top.column(0).to_pylist(), top.column(1).to_numpy().astype(float)
+    # words above the least count at which they are most_words or fewer: sorted on the driver, whatever the corpus
+    held_by = counts.groupBy("c").agg(F.count("*").alias("m")).orderBy(F.desc("c")).limit(most_words + 1).collect()
+    sums = np.cumsum([r["m"] for r in held_by])
+    cut = next((r["c"] for r, total in zip(held_by, sums, strict=True) if total > most_words), 0)
+    top = counts.filter(F.col("c") > cut).toArrow()
+    best = sorted(zip((-top.column(1).to_numpy()).tolist(), top.column(0).to_pylist(), strict=True))
+    frequent, often = [w for _, w in best], np.array([-c for c, _ in best], dtype=float)
     rare_mass = max(known["n"] - often.sum() + ADD * (known["v"] - len(frequent)) + ADD, ADD)
     shares = np.concatenate([often + ADD, [rare_mass, ends + ADD]])
     encoded = work.save(rows.mapInArrow(_encoder(spark.sparkContext.broadcast(frequent)), f"row long, doc_id {kind}, held_out boolean, ids binary, rare array<long>, times array<long>"), "encoded")
     common = shares / shares.sum()
     texts = encoded.filter(~F.col("held_out"))
-    drawn = texts.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "row").select("ids", "row").limit(sample_texts).collect()
-    sample = sorted(_symbols([r["ids"] for r in drawn], len(common) - 1), key=len)
+    few = int(min(1.0, sample_texts / max(ends, 1)) * 1_000_000)  # about sample_texts of them, by a hash
+    drawn = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < few).select("ids").toArrow().column(0).to_pylist()
+    sample = sorted(_symbols(sorted(drawn), len(common) - 1), key=len)
     model = begin(common, sample[: int(len(sample) * 0.98)], states, SAMPLE_ROUNDS, seed)
     for _ in range(rounds if ends else 0):
         held = spark.sparkContext.broadcast(model)
