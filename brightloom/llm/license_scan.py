@@ -81,7 +81,7 @@ def _words(unit: str) -> str:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id and licenses (array of license, dice, unit: the line or paragraph) of every row of ``docs`` (doc_id, text).
 
-    For each unit the best template counts, the first by name of equals. A null or empty text has no licences. Repeated
+    For each unit the best template counts, the last by name of equals. A null or empty text has no licences. Repeated
     rows stay repeated, doc_id may be null, an empty table gives an empty result."""
     known = []
     for name, text in templates:
