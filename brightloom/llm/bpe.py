@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import release
+
 #: White space as Unicode has it (the property White_Space), for a character class.
 _BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and digits that Unicode 16 added to Python's tables, and capitals with their small letters: fixed values.
@@ -103,6 +105,10 @@ class WordBpe:
         self.ids: dict[str, bytes] = {}
         self.most_words = most_words
 
+    def forget(self) -> None:
+        """Drop what was learnt about words; the vocabulary stays."""
+        self.ids, self.pairs = {}, {}
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the lowest-ranked pair first, leftmost first."""
         symbols = list(symbols)
@@ -252,6 +258,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 500)
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        bpe.forget()
+        release()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shingles import U64, WordHashes, as_binary, mix, pieces, set_name, shingle_sets
+from .shingles import U64, WordHashes, as_binary, mix, pieces, release, set_name, shingle_sets
 from .workspace import Workspace
 
 SHINGLE, THRESHOLD, COORDINATES, BANDS, ROWS = 5, 75, 512, 40, 5
@@ -98,6 +98,8 @@ def _sketcher(size: int, t: int, bands: int, rows: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bits.shape[1], bits.shape[1], dtype=np.int32)), pa.array(bits.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), names, lists, flat], ["doc_id", "n_shingles", "set_id", "keys", "planes"])
+        cache.clear()
+        release()
     return run
 
 

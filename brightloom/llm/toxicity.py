@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import release
 from .workspace import Workspace
 
 ORDER, DISCOUNT, MOST_TOXIC, MOST_ORDINARY, CUT = 5, 0.75, 8_000, 16_000, 0.3
@@ -214,6 +215,8 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
                 own = batch.filter(pa.array(part % 2 == half))
                 rows = judges[1 - half].features(own.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(3))], ["part", "a", "b", "c"])
+        judges.clear()
+        release()
 
     judged = sample.mapInArrow(judge, "part int, a double, b double, c double").toArrow()
     seen = np.column_stack([c.to_numpy().astype(float) for c in judged.columns])
@@ -239,6 +242,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = [model.score(f) for f in judge.features(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+        del judge
+        release()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -271,5 +276,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFram
         for batch in batches:
             keep = [model.score(f) < cut for f in judge.features(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del judge
+        release()
 
     return docs.mapInArrow(run, docs.schema)
