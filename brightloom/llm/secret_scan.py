@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
-CUT, TREES, DEPTH, SEED, FINDINGS, CONTEXT, MASK = 0.5, 25, 6, 17, 6000, 40, "<secret>"
+CUT, TREES, DEPTH, SEED, FINDINGS, CONTEXT, MASK = 0.5, 15, 5, 17, 6000, 40, "<secret>"
 #: Common parts of identifiers and prose, for the coverage of a candidate: fixed values.
 WORDS = (
     "about", "access", "account", "action", "address", "after", "array", "before", "build", "button", "cache", "client", "commit", "common",

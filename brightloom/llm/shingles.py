@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all when it holds ``most`` words, so that its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -56,7 +56,7 @@ def as_binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
 
 
-def pieces(texts: list[bytes | None], most_bytes: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes | None], most_bytes: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many bytes, one text at least."""
     at = held = 0
     for k, t in enumerate(texts):

@@ -112,7 +112,7 @@ class Model:
 class Judge:
     """Features of texts, with a bounded memory of words."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most, self.known = model, most, {}
 
     def features(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
@@ -173,7 +173,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tables[k].update(words(text))
-            if sum(map(len, tables)) > 150_000:
+            if sum(map(len, tables)) > 80_000:
                 yield told(tables)
                 tables = [Counter() for _ in range(4)]
     yield told(tables)
@@ -208,7 +208,7 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features of each labelled text by the model of the other half."""
-        judges = [Judge(m, 100_000) for m in halves.value]
+        judges = [Judge(m, 50_000) for m in halves.value]
         for batch in batches:
             part = batch.column(0).to_numpy()
             for half in (0, 1):
@@ -230,6 +230,8 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
     else:  # one class only: its share says all
         model.weights = [30.0 if toxic.any() else -30.0, 0.0, 0.0, 0.0]
     work.drop("sample")
+    del codes, parts, shared, judged, seen
+    release()
     return model
 
 
