@@ -140,8 +140,11 @@ def found_in(docs: DataFrame, forest: str | None = None, cut: float = CUT) -> Da
     ends = _running("zip_with(secret_texts_, slice(secret_parts_, 1, size(secret_texts_)), (m, p) -> cast(length(m) + length(p) as bigint))")
     rows = rows.withColumn("secret_ends_", F.expr(ends))
     told = ", ".join(f"'{name}', coalesce(cast({sql} as double), 0D)" for name, sql in FEATURES.items())
+    # the characters around a candidate in the whole text: three candidates of 16 or more hold 40 with what stands between
+    before = ", ".join(f"get(secret_texts_, i - {k}), get(secret_parts_, i - {k - 1})" for k in (3, 2, 1))
+    after = ", ".join(f"get(secret_parts_, i + {k}), get(secret_texts_, i + {k})" for k in (1, 2, 3))
     described = (
-        f"transform(secret_texts_, (t, i) -> transform(array(named_struct('text', t, 'before', right(secret_parts_[i], {CONTEXT}), 'after', left(secret_parts_[i + 1], {CONTEXT}))), "
+        f"transform(secret_texts_, (t, i) -> transform(array(named_struct('text', t, 'before', right(concat_ws('', {before}), {CONTEXT}), 'after', left(concat_ws('', {after}), {CONTEXT}))), "
         f"c -> named_struct('text', t, 'end', secret_ends_[i], {told}))[0])"
     )
     rows = rows.withColumn("secret_described_", F.expr(described))

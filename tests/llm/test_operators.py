@@ -248,3 +248,12 @@ def test_toxicity_on_held_out_texts(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).filter("predicted = 1").count() == 0
+
+
+def test_context_of_secrets_is_the_whole_text(spark):
+    key, other = hashlib.sha1(b"2").hexdigest(), hashlib.sha1(b"3").hexdigest()
+    rows = [(1, f"GITHUB_ACCESS_TOKEN={key}\n"), (2, f'x AWS_SECRET_ACCESS_KEY="{key}"'), (3, f"my_service_auth_token: {key}\n"), (4, f"é see commit {key} of"), (5, f"SERVICE_SECRET_TOKEN={key}\nGITHUB_ACCESS_TOKEN={other} and")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [rows[r["doc_id"] - 1][1][s["start"] : s["end"]] for s in r["secrets"]] for r in secret_scan.scan(df).collect()}
+    assert got == {1: [key], 2: [key], 3: [key], 4: [], 5: [key, other]}
+    assert {r["text"] for r in secret_scan.redact(df.filter("doc_id = 1")).collect()} == {"GITHUB_ACCESS_TOKEN=<secret>\n"}
