@@ -4,8 +4,9 @@ Documents may belong to several sources. They are aggregated by membership patte
 patterns and sources form a small network: words flow from a pattern, each repetition of its documents costing more
 than the one before (convex, up to ``most_copies``), to one of its sources, and from there into the source's quota.
 The cheapest flow that fills the quotas as far as it can says how many words each pattern gives, which is a number of
-whole rounds over its documents and a rest; the rest goes to documents in the order of a seeded hash. The order is
-never sorted in one place: hash ranges are added up first, and only the range in which the rest ends is ranked.
+whole rounds over its documents and a rest; the rest goes to documents in the order of a seeded hash, and a document
+that does not fit is left out, until less is missing than the smallest document left has. The order is never sorted in
+one place: hash ranges are added up first, and only the range in which the rest ends is ranked.
 
 Quotas share all words by weight (5, 2, 1, repeating over the sources by code point, null last); a quota stops at
 ``most_copies`` times its source's size and what is left is shared again by weight.
@@ -110,6 +111,50 @@ def cheapest_flow(patterns: Sequence[tuple[frozenset, float]], quota: dict, most
     return [sum(room[e ^ 1] for e in copies[k]) for k in range(n_p)]
 
 
+#: Whether a row is drawn by one of its pattern's picks: all that fitted the words missing then, up to a place in the order or at it (edge -1).
+_DRAWN = "exists(picks, p -> weight > 0 and weight <= p.lack and coalesce(bin < p.edge or if(p.edge < 0, struct(order, doc_id, size) = p.upto, struct(order, doc_id, size) <= p.upto), false))"
+
+
+def _key_type(rows: DataFrame) -> str:
+    return f"struct<order: long, doc_id: {rows.schema['doc_id'].dataType.simpleString()}, size: long>"
+
+
+def _draw(rows: DataFrame, rest: dict[tuple, int]) -> dict[tuple, list]:
+    """The picks (see ``_DRAWN``) that fill each pattern's rest until what is missing is less than its smallest row left.
+
+    Each round takes, in order, the rows that fit into what is missing up to the first that does not, or the largest
+    one that fits if that is more. Both together exceed what is missing, so that each round at least halves it. The
+    driver holds one row for each pattern and round."""
+    spark, lack, picks = rows.sparkSession, dict(rest), {p: [] for p in rest}
+    every = 1 << 52
+    while lack:
+        state = spark.createDataFrame([(list(p), n, picks[p]) for p, n in lack.items()], f"pattern array<string>, lack long, picks array<struct<lack: long, edge: long, upto: {_key_type(rows)}>>")
+        left = rows.join(F.broadcast(state), "pattern").filter("weight > 0 and weight <= lack").filter(f"not {_DRAWN}").drop("picks")
+        sums = left.groupBy("pattern", "bin").agg(F.first("lack").alias("lack"), F.sum("weight").alias("words"), F.max(F.struct("weight", "order", "doc_id", "size")).alias("best"))
+        # at most patterns * bins rows of sums, dealt by pattern
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+        ends = sums.groupBy("pattern").agg(
+            F.max("best").alias("best"), F.min(F.when(F.col("upto") > F.col("lack"), F.col("bin"))).alias("edge"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("lack"), F.col("upto"))), F.lit(0)).alias("before")).collect()
+        edges = spark.createDataFrame([(r["pattern"], r["edge"], r["before"]) for r in ends if r["edge"] is not None], "pattern array<string>, edge long, before long")
+        # ranked are only the rows of one bin in each pattern
+        inside = left.join(F.broadcast(edges), "pattern").filter("bin = edge")
+        inside = inside.withColumn("upto", F.col("before") + F.sum("weight").over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+        fit = inside.filter("upto <= lack").groupBy("pattern").agg(F.max("upto").alias("got"), F.max(F.struct("order", "doc_id", "size")).alias("key")).collect()
+        last = {tuple(r["pattern"]): r for r in fit}
+        missing = {}
+        for r in ends:
+            p = tuple(r["pattern"])
+            got, key = (last[p]["got"], tuple(last[p]["key"])) if p in last else (r["before"], None)
+            edge = every if r["edge"] is None else r["edge"]
+            if r["best"]["weight"] > got:
+                got, edge, key = r["best"]["weight"], -1, tuple(r["best"])[1:]
+            picks[p].append((lack[p], edge, key))
+            if lack[p] > got and r["edge"] is not None:
+                missing[p] = lack[p] - got
+        lack = missing
+    return picks
+
+
 def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = WEIGHTS, most_copies: int = MOST_COPIES, seed: int = SEED,
         bins: int = BINS, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """Every row of ``docs`` with size (words), source_size, target (of its first source) and copies (how often the mix
@@ -121,14 +166,14 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     depends on doc_id and the words' number only, so that reruns agree."""
     work = Workspace(docs.sparkSession, "mixing")
     names = sources if sources is not None else F.array(F.col("source").cast("string"))
-    rows = work.save(
-        docs.select(
-            F.col("doc_id"), n_words().alias("size"),
-            F.array_sort(F.array_distinct(F.transform(names, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("t"))))).alias("pattern"),
-            F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(1 << 52)).alias("order")),
-        "sizes")
+    rows = docs.select(
+        F.col("doc_id"), n_words().alias("size"),
+        F.array_sort(F.array_distinct(F.transform(names, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("t"))))).alias("pattern"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(1 << 52)).alias("order"))
     wide = (1 << 52) // bins
-    binned = work.save(rows.groupBy("pattern", F.floor(F.col("order") / wide).alias("bin")).agg(F.sum("size").alias("words")), "bins")
+    rows = rows.groupBy("pattern", "order", "doc_id", "size").agg(F.count("*").alias("n"))  # repeated rows are drawn together
+    rows = work.save(rows.withColumn("bin", F.floor(F.col("order") / wide)).withColumn("weight", F.col("size") * F.col("n")), "sizes")
+    binned = work.save(rows.groupBy("pattern", "bin").agg(F.sum("weight").alias("words")), "bins")
     found = binned.groupBy("pattern").agg(F.sum("words").alias("words")).orderBy("pattern").limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
         raise ValueError(f"more than {most_patterns} patterns of sources")
@@ -149,29 +194,14 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
         rounds = min(int(words / r["words"] + 1e-9), most_copies) if r["words"] else 0
         first = min(r["pattern"], key=every.index) if r["pattern"] else None
         plan.append((r["pattern"], size.get(first, 0), float(quota.get(first, 0.0)), rounds, 0 if rounds == most_copies else round(words - rounds * r["words"])))
-    told = docs.sparkSession.createDataFrame(plan, "pattern array<string>, source_size long, target double, rounds int, rest long")  # at most most_patterns rows
-    told = F.broadcast(told)
-    # the bin in which each pattern's rest ends: at most patterns * bins rows of sums, dealt by pattern
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = work.save(
-        binned.withColumn("before", before).join(told.select("pattern", "rest"), "pattern")
-        .filter("before < rest and before + words >= rest").select("pattern", "bin", (F.col("rest") - F.col("before")).alias("need")), "edge")
-    held = rows.join(told, "pattern").join(F.broadcast(edge.select("pattern", F.col("bin").alias("edge"), "need")), "pattern", "left")
-    held = held.withColumn("bin", F.floor(F.col("order") / wide))
-    inside = F.col("bin") == F.col("edge")
-    # ranked are only the rows of one bin in each pattern: those that fit into the rest, in order
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = held.filter(inside).withColumn("more", F.when(upto <= F.col("need"), 1).otherwise(0))
-    more = F.when((F.col("rest") > 0) & F.col("edge").isNotNull() & (F.col("bin") < F.col("edge")), 1).otherwise(0)
-    columns = ["doc_id", "pattern", "order", "size", "source_size", "target", "rounds", "more"]
-    drawn = work.save(held.filter(~F.coalesce(inside, F.lit(False))).withColumn("more", more).select(*columns).unionByName(ranked.select(*columns)), "drawn")
-    # what is still missing goes to the one document that fits it best
-    lacking = drawn.groupBy("pattern").agg(F.sum(F.col("more") * F.col("size")).alias("got")).join(told.select("pattern", "rest"), "pattern").select("pattern", (F.col("rest") - F.col("got")).alias("lack"))
-    fits = drawn.filter("more = 0 and size > 0").join(F.broadcast(lacking), "pattern").filter("size <= lack")
-    best = work.save(fits.groupBy("pattern").agg(F.max(F.struct("size", "order", "doc_id")).alias("best")), "best")
-    out = drawn.join(F.broadcast(best), "pattern", "left")
-    last = F.when(F.struct("size", "order", "doc_id") == F.col("best"), 1).otherwise(0)
-    return out.select("doc_id", "pattern", "order", "size", "source_size", "target", (F.col("rounds") + F.greatest("more", last)).alias("copies"))
+    drawn = _draw(rows, {tuple(p[0]): p[4] for p in plan if p[4] > 0})
+    picks = f"array<struct<lack: long, edge: long, upto: {_key_type(rows)}>>"
+    told = docs.sparkSession.createDataFrame(  # at most most_patterns rows
+        [(*p[:4], drawn.get(tuple(p[0]), [])) for p in plan], f"pattern array<string>, source_size long, target double, rounds int, picks {picks}")
+    out = rows.join(F.broadcast(told), "pattern").withColumn("copies", F.col("rounds") + F.expr(f"if({_DRAWN}, 1, 0)"))
+    # repeated rows come back in pieces, so that no row holds all of them
+    out = out.withColumn("piece", F.explode(F.expr("sequence(0L, (n - 1) div 4096)"))).withColumn("k", F.explode(F.expr("sequence(1L, least(4096L, n - piece * 4096))")))
+    return out.select("doc_id", "pattern", "order", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:

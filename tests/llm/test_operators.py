@@ -257,3 +257,19 @@ def test_context_of_secrets_is_the_whole_text(spark):
     got = {r["doc_id"]: [rows[r["doc_id"] - 1][1][s["start"] : s["end"]] for s in r["secrets"]] for r in secret_scan.scan(df).collect()}
     assert got == {1: [key], 2: [key], 3: [key], 4: [], 5: [key, other]}
     assert {r["text"] for r in secret_scan.redact(df.filter("doc_id = 1")).collect()} == {"GITHUB_ACCESS_TOKEN=<secret>\n"}
+
+
+def test_mixing_fills_the_target_past_long_documents(spark):
+    rows = [(k, "w " * 100, "a") for k in range(400)] + [(400, "w " * 20_000, "a")] + [(500 + k, "w " * 100, "b") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    for seed in range(6):
+        got = mixing.mixed(df, weights=(1, 1), seed=seed).collect()
+        assert sum(r["taken"] for r in got if r["doc_id"] <= 400) == 40_000 and len(got) == len(rows)
+    # whatever fits is used, and repeated rows are taken alike
+    sizes = [random.Random(5).choice([1, 7, 50, 900]) for _ in range(60)]
+    rows = [(k, "w " * n, "a") for k, n in enumerate(sizes)] + [(None, "w w", "a")] * 3 + [(100, "w " * (sum(sizes) // 3), "b")]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1), seed=1).collect()
+    assert len(got) == len(rows) and len({r["taken"] for r in got if r["doc_id"] is None}) == 1
+    a = [r for r in got if r["doc_id"] != 100]
+    missing = a[0]["target"] + 0.5 - sum(r["taken"] for r in a)
+    assert 0 <= missing and all(r["taken"] or r["size"] * (3 if r["doc_id"] is None else 1) > missing for r in a)
