@@ -3,8 +3,11 @@
 Every line, and every paragraph of several lines, of a whole text is normalised (lower case, punctuation to blanks,
 "licence" to "license") and its distinct word bigrams are compared with those of licence templates. With a and b
 bigrams the coefficient is at most 2 min(a, b) / (a + b), so a template is only compared with units whose number of
-bigrams lies between its bounds, and most units meet no template at all. The templates are a constant of the plan;
-scanning is row by row inside the JVM and shuffles nothing.
+bigrams lies between its bounds, and most units meet no template at all. In what these units leave of the text, every
+run of words is compared that starts and ends with a bigram of the template and has no more bigrams than its upper
+bound, so that notices inside lines, paragraphs and comments are found too (a run that starts or ends with other
+bigrams never has a larger coefficient than the one inside it). Texts without any of the words that a match must have
+are not cut at all. The templates are a constant of the plan; scanning is row by row inside the JVM and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -74,14 +77,36 @@ def bounds(n: int, least: float) -> tuple[int, int]:
     return low, int(n * (2 - least) / least + 1e-9)
 
 
+def cues(known: list[tuple[str, list[str], int, int]]) -> list[str]:
+    """Words of which every match has at least one: a template may lack n - low of its bigrams, and more than these hold such a word."""
+    chosen: list[str] = []
+    need = {k: (set(grams), len(grams) - low + 1) for k, (_, grams, low, _) in enumerate(known)}
+    while need:
+        # short words stand in every text; the one that serves the most templates goes first
+        gain: dict[str, int] = {}
+        for grams, _ in need.values():
+            for w in {w for g in grams for w in g.split(" ")}:
+                gain[w] = gain.get(w, 0) + 1
+        best = max(gain, key=lambda w: (len(w) > 5, gain[w], len(w), w))
+        chosen.append(best)
+        for k, (grams, n) in list(need.items()):
+            left = {g for g in grams if best not in g.split(" ")}
+            n -= len(grams) - len(left)
+            need[k] = (left, n)
+            if n <= 0:
+                del need[k]
+    return sorted({"licen" if w.startswith("licens") else w for w in chosen})
+
+
 def _words(unit: str) -> str:
     return f"filter(split(regexp_replace(regexp_replace(lower({unit}), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+', ' '), '\\\\blicence', 'license'), ' '), w -> w <> '')"
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id and licenses (array of license, dice, unit: the line or paragraph) of every row of ``docs`` (doc_id, text).
+    """doc_id and licenses (array of license, dice, unit: the line or paragraph, or the normalised words of a run inside
+    one or across some) of every row of ``docs`` (doc_id, text).
 
-    For each unit the best template counts, the last by name of equals. A null or empty text has no licences. Repeated
+    For each unit the best template counts, the last by name of equals; of runs that overlap, the best. A null or empty text has no licences. Repeated
     rows stay repeated, doc_id may be null, an empty table gives an empty result."""
     known = []
     for name, text in templates:
@@ -94,21 +119,42 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     constant = "array(" + ", ".join(f"named_struct('name', {quote(n)}, 'grams', array({', '.join(map(quote, g))}), 'low', {lo}, 'high', {hi})" for n, g, lo, hi in known) + ")"
+    every = f"array({', '.join(map(quote, sorted({g for k in known for g in k[1]})))})"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines, blocks = F.split(text, "\\R"), F.filter(F.split(text, "\\R[\\x20\\t]*\\R"), lambda b: b.rlike("\\R"))
-    rows = docs.select("doc_id", F.filter(F.concat(lines, blocks), lambda u: F.length(u) > 0).alias("units"))
+    cued = F.expr(" or ".join(f"contains(lower_, {quote(w)})" for w in cues(known)))
+    rows = docs.select("doc_id", text.alias("text_")).withColumn("lower_", F.lower("text_"))
+    rows = rows.select("doc_id", F.when(cued, F.col("text_")).otherwise(F.lit("")).alias("text_"))
+    lines, blocks = F.split("text_", "\\R"), F.filter(F.split("text_", "\\R[\\x20\\t]*\\R"), lambda b: b.rlike("\\R"))
+    rows = rows.select("doc_id", "text_", F.filter(F.concat(lines, blocks), lambda u: F.length(u) > 0).alias("units"))
     # a unit's length in words bounds its bigrams before any are made
     long = f"filter(transform(units, u -> named_struct('unit', u, 'words', {_words('u')})), u -> size(u.words) > {smallest})"
-    rows = rows.select("doc_id", F.expr(long).alias("units"))
+    rows = rows.select("doc_id", "text_", F.expr(long).alias("units"))
     pairs = "array_distinct(transform(sequence(1, size(u.words) - 1), i -> concat(u.words[i - 1], ' ', u.words[i])))"
-    rows = rows.select("doc_id", F.expr(f"filter(transform(units, u -> named_struct('unit', u.unit, 'grams', {pairs})), u -> size(u.grams) between {smallest} and {largest})").alias("units"))
+    rows = rows.select("doc_id", "text_", F.expr(f"filter(transform(units, u -> named_struct('unit', u.unit, 'grams', {pairs})), u -> size(u.grams) between {smallest} and {largest})").alias("units"))
     near = (
         f"array_max(transform(filter({constant}, t -> size(u.grams) between t.low and t.high), "
         "t -> named_struct('dice', 2 * size(array_intersect(u.grams, t.grams)) / (size(u.grams) + size(t.grams)), 'name', t.name)))"
     )
-    rows = rows.select("doc_id", F.expr(f"transform(units, u -> named_struct('best', {near}, 'unit', u.unit))").alias("units"))
-    hit = F.filter("units", lambda u: u["best"]["dice"] >= least)
-    return rows.select("doc_id", F.transform(hit, lambda u: F.struct(u["best"]["name"].alias("license"), u["best"]["dice"].alias("dice"), u["unit"].alias("unit"))).alias("licenses"))
+    rows = rows.select("doc_id", "text_", F.expr(f"transform(units, u -> named_struct('best', {near}, 'unit', u.unit))").alias("units"))
+    rows = rows.select("doc_id", "text_", F.filter("units", lambda u: u["best"]["dice"] >= least).alias("hits"))
+    # the rest of the text, without the units told and without the words that mark comments
+    rest = "aggregate(array_sort(hits, (a, b) -> length(b.unit) - length(a.unit)), text_, (t, u) -> replace(t, u.unit, ' '))"
+    rows = rows.withColumn("words_", F.expr(_words(f"regexp_replace({rest}, '(?mi)^[\\\\x20\\\\t]*(dnl|rem)\\\\b', ' ')")))
+    rows = rows.withColumn("grams_", F.expr("if(size(words_) > 1, transform(sequence(1, size(words_) - 1), i -> concat(words_[i - 1], ' ', words_[i])), slice(words_, 1, 0))"))
+    rows = rows.withColumn("known_", F.expr(f"array_intersect(grams_, {every})"))
+    rows = rows.withColumn("templates_", F.expr(f"filter({constant}, t -> size(array_intersect(known_, t.grams)) >= t.low)"))
+    placed = "filter(transform(grams_, (g, i) -> named_struct('g', g, 'i', i)), x -> array_contains(known_, x.g))"
+    rows = rows.withColumn("placed_", F.expr(f"if(size(templates_) > 0, {placed}, slice({placed}, 1, 0))"))
+    run = "transform(array(array_distinct(slice(grams_, a.i + 1, z.i - a.i + 1))), g -> 2 * size(array_intersect(g, t.grams)) / (size(g) + size(t.grams)))[0]"
+    runs = (
+        "flatten(transform(templates_, t -> transform(array(filter(placed_, x -> array_contains(t.grams, x.g))), m -> transform(m, (a, k) -> "
+        f"array_max(transform(filter(slice(m, k + t.low, t.high - t.low + 1), z -> z.i - a.i < t.high), z -> named_struct('dice', {run}, 'name', t.name, 'start', a.i, 'end', z.i + 1)))))[0]))"
+    )
+    rows = rows.withColumn("runs_", F.expr(f"sort_array(filter({runs}, r -> r.dice >= {least}D), false)"))
+    rows = rows.withColumn("runs_", F.expr("aggregate(runs_, slice(runs_, 1, 0), (kept, r) -> if(exists(kept, x -> x.start <= r.`end` and r.start <= x.`end`), kept, concat(kept, array(r))))"))
+    units = F.transform("hits", lambda u: F.struct(u["best"]["name"].alias("license"), u["best"]["dice"].alias("dice"), u["unit"].alias("unit")))
+    inside = F.expr("transform(runs_, r -> named_struct('license', r.name, 'dice', r.dice, 'unit', array_join(slice(words_, r.start + 1, r.`end` - r.start + 1), ' ')))")
+    return rows.select("doc_id", F.concat(units, inside).alias("licenses"))
 
 
 def told(docs: DataFrame) -> DataFrame:

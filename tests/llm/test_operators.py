@@ -273,3 +273,18 @@ def test_mixing_fills_the_target_past_long_documents(spark):
     a = [r for r in got if r["doc_id"] != 100]
     missing = a[0]["target"] + 0.5 - sum(r["taken"] for r in a)
     assert 0 <= missing and all(r["taken"] or r["size"] * (3 if r["doc_id"] is None else 1) > missing for r in a)
+
+
+def test_licenses_inside_lines_paragraphs_and_comments(spark):
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 300).split()
+    gpl = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and len(t) > 100).split()
+
+    def comment(mark, words):
+        return "\n".join([mark + " Copyright", mark] + [f"{mark} " + " ".join(words[k : k + 8]) for k in range(0, len(words), 8)] + [mark, mark + " " + "other words here " * 30])
+
+    rows = [(1, "Copyright (c) 2024 Acme Inc. All rights reserved."), (2, "This project is released under the MIT License."), (3, comment("#", mit)), (4, comment(" *", gpl)), (5, comment("dnl", gpl)),
+            (6, "alpha beta " * 300 + "it is Licensed under CC BY-SA 4.0. All Rights Reserved by us " + "gamma delta " * 300), (7, "the license of the software is free, and all rights are ours"), (8, "Released under the MIT License.\n\nplain")]
+    got = {r["doc_id"]: r for r in license_scan.told(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["licenses"] for k, r in got.items()} == {1: "proprietary", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "GPL-3.0", 6: "CC-BY-SA-4.0,proprietary", 7: "", 8: "MIT"}
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1][0]["unit"] == "all rights reserved" and found[1][0]["dice"] == 1 and len(found[8]) == 1
