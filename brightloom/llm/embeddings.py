@@ -7,8 +7,10 @@ that it shares, so no pairs are written out: a cell yields for each vector its n
 vector it hangs together with.
 
 A pair at cosine 0.98 in 64 dimensions lies about 0.02 apart on a random direction; with the default margin one tree
-of depth five misses about 4 % of such pairs and six trees together fewer than one in a million. The sample (at most
-``sample`` vectors, chosen by a hash of vec_id) only places the splits; every row is indexed.
+of depth five misses about 4 % of such pairs and six trees together fewer than one in a million. The margin is the same
+everywhere: where it would send more than ``MOST_SPILL`` of a node's sample both ways, as in a dense label, the node is
+not split and its rows are compared in blocks. The sample (at most ``sample`` vectors, chosen by a hash of vec_id) only
+places the splits; every row is indexed.
 
 Copies of a vector are one node with a weight. A cell of more than ``block`` nodes is dealt out as pairs of blocks,
 so that no task holds more than two blocks; the work of a dense cell stays quadratic, as exact link counts need, but
@@ -41,21 +43,22 @@ class Tree:
 
 
 def grow(sample: np.ndarray, depth: int, seed: int, margin: float = MARGIN, most_spill: float = MOST_SPILL) -> Tree:
-    """Split the sample ``depth`` times along random directions, at the medians."""
+    """Split the sample up to ``depth`` times along random directions, at the medians; all rows of a node without a split go left."""
     inner = 2**depth - 1
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((max(inner, 1), sample.shape[1])).astype(np.float32)
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    thresholds, margins = np.zeros(max(inner, 1)), np.full(max(inner, 1), margin)
+    thresholds, margins = np.full(max(inner, 1), np.inf), np.full(max(inner, 1), margin)
     rows = {0: np.arange(len(sample))}
     for k in range(inner):
         own = rows.pop(k, np.zeros(0, dtype=int))
         if len(own):
             p = sample[own] @ directions[k]
-            thresholds[k] = np.median(p)
+            middle = np.median(p)
             # no more than most_spill of the rows may go both ways
-            margins[k] = min(margin, float(np.quantile(np.abs(p - thresholds[k]), most_spill)))
-            rows[2 * k + 1], rows[2 * k + 2] = own[p < thresholds[k]], own[p >= thresholds[k]]
+            if np.mean(np.abs(p - middle) <= margin) <= most_spill:
+                thresholds[k] = middle
+                rows[2 * k + 1], rows[2 * k + 2] = own[p < middle], own[p >= middle]
     return Tree(directions, thresholds, margins, depth)
 
 
@@ -164,7 +167,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     picked = classes.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(few * 1_000_000)).select("vector")
     held = _unit([r[0] for r in picked.toLocalIterator()], dim) if depth else np.zeros((0, dim), dtype=np.float32)
     depth = min(depth, max(0, int(np.log2(max(len(held), 1) / 16))))
-    forest = spark.sparkContext.broadcast([grow(held, depth, seed + t) for t in range(trees)])
+    grown = [grow(held, depth, seed + t) for t in range(trees)]
+    whole = [t for t in grown if np.isinf(t.thresholds[0])][:1]  # a tree without a split compares all pairs by itself
+    forest = spark.sparkContext.broadcast(whole or grown)
     label_type = classes.schema["label"].dataType.simpleString()
     placed = work.save(
         classes.select("label", "node", "copies", "vector").mapInArrow(

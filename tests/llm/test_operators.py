@@ -288,3 +288,26 @@ def test_licenses_inside_lines_paragraphs_and_comments(spark):
     assert {k: r["licenses"] for k, r in got.items()} == {1: "proprietary", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "GPL-3.0", 6: "CC-BY-SA-4.0,proprietary", 7: "", 8: "MIT"}
     found = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1][0]["unit"] == "all rights reserved" and found[1][0]["dice"] == 1 and len(found[8]) == 1
+
+
+def test_forest_keeps_its_recall_in_dense_labels():
+    rng = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    for mean in (0.9, 0.95):
+        centre = unit(rng.standard_normal((1, 64)))
+        base = unit(np.sqrt(mean) * centre + np.sqrt((1 - mean) / 64) * rng.standard_normal((20_000, 64)))
+        far = rng.standard_normal((2_000, 64))
+        a = base[:2_000]
+        far = unit(far - (far * a).sum(axis=1)[:, None] * a)
+        x = np.concatenate([base, 0.982 * a + np.sqrt(1 - 0.982**2) * far]).astype(np.float32)
+        met = np.zeros(2_000, dtype=bool)
+        for t in range(embeddings.TREES):
+            row, cell = embeddings.route(embeddings.grow(x, 7, t), x)
+            cells = {}
+            for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+                cells.setdefault(r, set()).add(c)
+            met |= np.array([bool(cells[k] & cells[20_000 + k]) for k in range(2_000)])
+        assert met.all(), (mean, met.mean())
