@@ -232,12 +232,13 @@ def score(docs: DataFrame, states: int = STATES, most_words: int = MOST_WORDS, r
     ends = training.count()
     n, v = known["n"] + ends, known["v"] + (1 if ends else 0)
     mass = n + ADD * (v + 1)
-    # words above the least count at which they are most_words or fewer: sorted on the driver, whatever the corpus
+    # words above the least count at which they are most_words or fewer, and of that count the first by their bytes: sorted on the driver, whatever the corpus
     held_by = counts.groupBy("c").agg(F.count("*").alias("m")).orderBy(F.desc("c")).limit(most_words + 1).collect()
     sums = np.cumsum([r["m"] for r in held_by])
     cut = next((r["c"] for r, total in zip(held_by, sums, strict=True) if total > most_words), 0)
     top = counts.filter(F.col("c") > cut).toArrow()
-    best = sorted(zip((-top.column(1).to_numpy()).tolist(), top.column(0).to_pylist(), strict=True))
+    tied = counts.filter(F.col("c") == cut).orderBy("word").limit(most_words - top.num_rows).toArrow()
+    best = sorted((-c, w) for part in (top, tied) for c, w in zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True))
     frequent, often = [w for _, w in best], np.array([-c for c, _ in best], dtype=float)
     rare_mass = max(known["n"] - often.sum() + ADD * (known["v"] - len(frequent)) + ADD, ADD)
     shares = np.concatenate([often + ADD, [rare_mass, ends + ADD]])

@@ -311,3 +311,9 @@ def test_forest_keeps_its_recall_in_dense_labels():
                 cells.setdefault(r, set()).add(c)
             met |= np.array([bool(cells[k] & cells[20_000 + k]) for k in range(2_000)])
         assert met.all(), (mean, met.mean())
+
+
+def test_hmm_fills_its_vocabulary_from_ties(spark):
+    docs = spark.createDataFrame([(k, " ".join(w for w in ("alpha", "beta", "gamma", "delta") for _ in range(20))) for k in range(30)], "doc_id long, text string")
+    for r in hmm.score(docs, most_words=3, states=4).collect():
+        assert r["score"] > 0.8 * r["base_score"]
