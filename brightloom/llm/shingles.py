@@ -20,6 +20,7 @@ _SHORT = 0x5851F42D4C957F2D
 def release() -> None:
     """Give freed memory back at the end of a task, for Python workers live on and share an executor's memory."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -56,12 +57,12 @@ def as_binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
 
 
-def pieces(texts: list[bytes | None], most_bytes: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about so many bytes, one text at least."""
+def pieces(texts: list[bytes | None], most_bytes: int = 2_000_000, most_texts: int = 500) -> Iterator[tuple[int, int]]:
+    """Runs of at most so many texts, of about so many bytes, one text at least."""
     at = held = 0
     for k, t in enumerate(texts):
         held += len(t) if t else 0
-        if held >= most_bytes:
+        if held >= most_bytes or k - at + 1 >= most_texts:
             yield at, k + 1
             at, held = k + 1, 0
     if at < len(texts):
