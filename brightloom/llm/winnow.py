@@ -2,12 +2,17 @@
 
 The lower-cased words of a text are hashed, every k of them in a row give a gram's 31-bit hash, and of each window of
 w grams the least hash is chosen, the rightmost of equals, with its position (the number of its first word). So any
-passage of w + k - 1 words that two texts share is found in both fingerprints, and none shorter than k words is. A
-text of fewer than k words has its whole sequence as its one gram; a text without words has an empty fingerprint.
-
-A hash and its position are one 64-bit number whose order is that of the hash and, among equals, of the position from
-the right, so the least number of a window is its choice. Minima of windows of 1, 2, 4 … grams are doubled up, log w
-passes over an array instead of w. All is done row by row inside the JVM.
+passage of w + k - 1 words that two texts share is found in both fingerprints, and none shorter than k words is. Words
+of more than ``LONGEST`` characters are cut into pieces of so many from their start, so that texts without blanks have grams
+too. A text of fewer than w + k - 1 words, for which nothing is promised, has its single words as grams; a text
+without words has an empty fingerprint.
+
+The hash is a rolling polynomial modulo 2^31 - 1. Arrays have no running state in SQL, so it does not roll word by word:
+the hashes of 2, 4, 8 … words in a row are each made of two of the step before, for all places at once, and those that add up to k
+are put together: log k passes over an array, and no gram is hashed from its words anew. A hash and its position are
+one 64-bit number whose order is that of the hash and, among equals, of the position from the right, so the least
+number of a window is its choice; minima of windows of 1, 2, 4 … grams are doubled up likewise. All is done row by row
+inside the JVM.
 """
 
 from __future__ import annotations
@@ -17,8 +22,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W, ROWS_PER_RANGE, MOST_RANGES = 5, 8, 500, 4096
-_LOW = (1 << 32) - 1
+from .workspace import least_hashes
+
+K, W, LONGEST, ROWS_PER_RANGE, MOST_RANGES, KEYS_PER_RANGE = 5, 8, 16, 500, 1 << 17, 8
+_LOW, _PRIME, _BASE = (1 << 32) - 1, (1 << 31) - 1, 1_000_003
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,16 +34,37 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _key(gram: Column, place: Column) -> Column:
-    return F.shiftleft(gram.bitwiseAND(F.lit(0x7FFFFFFF)).cast("long"), 32) + (F.lit(_LOW) - place)
+    return F.shiftleft(gram, 32) + (F.lit(_LOW) - place)
+
+
+def _joined(first: Column, second: Column, width: int, more: int) -> Column:
+    """Hashes of ``width`` words in a row, each with the hash of the ``more`` words that follow."""
+    power = pow(_BASE, more, _PRIME)
+    ahead = F.slice(second, width + 1, F.greatest(F.size(second) - width, F.lit(0)))
+    return F.filter(F.zip_with(first, ahead, lambda a, b: (a * power + b) % _PRIME), lambda x: x.isNotNull())
+
+
+def rolling(h: Column, k: int = K) -> Column:
+    """The polynomial hashes of all k neighbours in an array of numbers below 2^31 - 1."""
+    def bits(state: Column, width: int, rest: int) -> Column:
+        """state.all: hashes of ``width`` in a row; state.out: those of the lower bits of k, put together so far."""
+        done = k & (width - 1)
+        if rest & 1:
+            out = _joined(state["all"], state["out"], width, done) if done else state["all"]
+        else:
+            out = state["out"]
+        if rest == 1:
+            return out
+        return _let(F.struct(_joined(state["all"], state["all"], width, width).alias("all"), out.alias("out")), lambda s: bits(s, width * 2, rest >> 1))
+
+    return _let(F.struct(h.alias("all"), h.alias("out")), lambda s: bits(s, 1, k))
 
 
 def selected(text: Column, k: int = K, w: int = W) -> Column:
     """The chosen grams as packed numbers, in the order of the text (array of long)."""
     def grams(h: Column) -> Column:
-        last = F.size(h) - k
-        several = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: _key(F.hash(*(F.get(h, i + j) for j in range(k))), i))
-        whole = F.array(_key(F.hash(h, F.size(h)), F.lit(0)))
-        return F.when(last >= 0, several).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<long>"))
+        several = F.when(F.size(h) >= w + k - 1, rolling(h, k)).otherwise(h)
+        return F.transform(several, _key)
 
     def least(m: Column) -> Column:
         n, width, out = F.size(m), 1, m
@@ -44,11 +72,14 @@ def selected(text: Column, k: int = K, w: int = W) -> Column:
             step = min(width, w - width)
             out = _let(out, _shifted(step))
             width += step
-        # the last windows are cut short by the text's end; a text of fewer than w grams has one window
+        # the last windows are cut short by the text's end
         return F.array_distinct(F.slice(out, 1, F.greatest(n - (w - 1), F.lit(1))))
 
-    tokens = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda t: t != "")
-    return _let(_let(F.transform(tokens, lambda t: F.xxhash64(t)), grams), least)
+    def chosen(h: Column) -> Column:
+        return F.when(F.size(h) >= w + k - 1, _let(grams(h), least)).otherwise(grams(h))
+
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(f"([^\\x20\\x09-\\x0D]{{1,{LONGEST}}})"), F.lit(1))
+    return _let(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(_PRIME))), chosen)
 
 
 def _shifted(step: int) -> Callable[[Column], Column]:
@@ -75,49 +106,53 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """doc_id, n_chars and fingerprint (array of hash, position) of every row; a null text counts as empty."""
+    """doc_id, n_chars and fingerprint (array of hash, position) of every row.
+
+    A null text counts as empty and has an empty fingerprint; very long ones are read whole. Repeated rows stay
+    repeated, doc_id may be null, an empty table gives an empty result; other columns are ignored, whatever their names."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chosen = selected(text, k, w)
     return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.transform(chosen, lambda x: F.struct(
         F.shiftright(x, 32).alias("hash"), (F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))).alias("position"))).alias("fingerprint"))
 
 
-def _range_of(doc_id: Column, bounds: list[int], block: int = 64) -> Column:
-    """How many bounds are at most doc_id, by a search of two levels; 0 for null."""
+def _range_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds are at most the key, by a search of two levels."""
     if not bounds:
         return F.lit(0)
-    blocks = [bounds[a : a + block] for a in range(0, len(bounds), block)]
-
-    def longs(xs: list[int]) -> Column:
-        return F.array(*(F.lit(x).cast("long") for x in xs))
-
-    coarse = F.size(F.filter(longs([b[0] for b in blocks]), lambda b: b <= doc_id))
-    fine = F.get(F.array(*(longs(b) for b in blocks)), coarse - 1)
-    return F.when(doc_id.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * block + F.size(F.filter(fine, lambda b: b <= doc_id)))
+    block = max(1, int(len(bounds) ** 0.5))
+    firsts = F.split(F.lit(",".join(bounds[::block])), ",")
+    blocks = F.split(F.lit(" ".join(",".join(bounds[a : a + block]) for a in range(0, len(bounds), block))), " ")
+    coarse = F.size(F.filter(firsts, lambda b: b <= key))
+    fine = F.size(F.filter(F.split(F.get(blocks, coarse - 1), ","), lambda b: b <= key))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * block + fine)
 
 
 def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, most_ranges: int = MOST_RANGES, extra: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, text and the extra columns, and ``next`` (a struct of text and those) of the following row by doc_id.
 
-    Nulls come first, rows of one doc_id are ordered by their text, and the first row follows the last. The ids are
-    cut into ranges at quantiles; the first row of a range is dealt to the range before it too, and the very first to
-    the last, so each range finds its successors by itself and no task sees all rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.count("doc_id").alias("ids")).first()
+    Nulls come first, rows of one doc_id (and those without) are ordered by a hash of their text, and the first row
+    follows the last. The rows are cut into ranges of this order at keys that a sample of them has, so that neither
+    many rows of one doc_id nor many without are one range; the first row of a range is dealt to the range before it too, and the very first to
+    the last, so each range finds its successors by itself and no task sees all rows. The number of ranges grows with
+    the table up to ``most_ranges``; the driver holds ``KEYS_PER_RANGE`` keys for each."""
+    # null or not, the id with its sign turned, the text's hash: as text that sorts alike
+    low = F.lit(-(1 << 63))
+    key = F.concat(F.when(F.col("doc_id").isNull(), "0").otherwise("1"), F.lpad(F.hex(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").bitwiseXOR(low)), 16, "0"), F.lpad(F.hex(F.xxhash64("text").bitwiseXOR(low)), 16, "0"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", key)
+    known = rows.agg(F.count("*").alias("n"), F.min("key").alias("lo")).first()
     parts = max(1, min(most_ranges, known["n"] // rows_per_range))
-    cuts = rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 and known["ids"] else []
-    bounds = sorted({int(c) for c in cuts} - {known["lo"]})
-    rows = rows.select("doc_id", "text", *extra)
-    own = _range_of(F.col("doc_id"), bounds)
-    first = F.col("doc_id").isNull() if known["ids"] < known["n"] else F.col("doc_id") == F.lit(known["lo"])
-    at_cut = F.col("doc_id").isin(bounds) if len(bounds) < 64 else F.get(F.array(*(F.lit(b) for b in bounds)), F.col("own") - 1) == F.col("doc_id")
+    drawn = sorted(r["key"] for r in least_hashes(rows.select("key"), F.col("key"), parts * KEYS_PER_RANGE, known["n"]).collect()) if parts > 1 else []
+    bounds = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)} - {known["lo"]}) if drawn else []
+    rows = rows.select("doc_id", "text", "key", *extra).withColumn("own", _range_of(F.col("key"), bounds))
+    at_cut = F.col("key").isin(bounds) if len(bounds) < 64 else F.get(F.split(F.lit(",".join(bounds)), ","), F.col("own") - 1) == F.col("key")
     places = F.array(
         F.struct(F.col("own").alias("part"), F.lit(0).alias("guest")),
         F.when(at_cut, F.struct((F.col("own") - 1).alias("part"), F.lit(1).alias("guest"))),
-        F.when(first, F.struct(F.lit(len(bounds)).alias("part"), F.lit(2).alias("guest"))))
-    dealt = rows.withColumn("own", own).withColumn("at", F.explode(F.array_compact(places)))
-    columns = [c for c in rows.columns if c != "doc_id"]
-    order = Window.partitionBy("at.part").orderBy("at.guest", F.col("doc_id").asc_nulls_first(), "text")
+        F.when(F.col("key") == F.lit(known["lo"]), F.struct(F.lit(len(bounds)).alias("part"), F.lit(2).alias("guest"))))
+    dealt = rows.withColumn("at", F.explode(F.array_compact(places))).drop("own")
+    columns = [c for c in dealt.columns if c not in ("doc_id", "key", "at")]
+    order = Window.partitionBy("at.part").orderBy("at.guest", "key", "text")
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("at.guest = 0").select("doc_id", *columns, "next")
 
 
