@@ -11,12 +11,12 @@ one place: hash ranges are added up first, and only the range in which the rest
 Quotas share all words by weight (5, 2, 1, repeating over the sources by code point, null last); a quota stops at
 ``most_copies`` times its source's size and what is left is shared again by weight.
 
-The driver holds one row for each pattern and source; more than ``most_patterns`` of them are refused.
+The driver holds one row for each pattern and source, whatever the number of documents; more than ``most_patterns`` of
+them are refused, for the flow is one problem over all of them.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-WEIGHTS, MOST_COPIES, BINS, SEED, MOST_PATTERNS = (5, 2, 1), 3, 4096, 7, 20_000
+WEIGHTS, MOST_COPIES, BINS, SEED, MOST_PATTERNS = (5, 2, 1), 3, 4096, 7, 1_000_000
+#: So many patterns at most are broadcast; more are joined.
+FEW_PATTERNS = 20_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -39,10 +41,10 @@ def quotas(sizes: dict, weights: dict, most: float = MOST_COPIES) -> dict[object
     left = total
     while open_:
         weight = sum(weights[s] for s in open_)
-        over = [s for s in open_ if left * weights[s] / weight > most * sizes[s]]
+        over = {s for s in open_ if left * weights[s] / weight > most * sizes[s]}
         if not over:
             return share | {s: left * weights[s] / weight for s in open_}
-        for s in over:
+        for s in (s for s in open_ if s in over):
             share[s] = float(most * sizes[s])
             left -= share[s]
         open_ = [s for s in open_ if s not in over]
@@ -52,63 +54,84 @@ def quotas(sizes: dict, weights: dict, most: float = MOST_COPIES) -> dict[object
 def cheapest_flow(patterns: Sequence[tuple[frozenset, float]], quota: dict, most_copies: int = MOST_COPIES) -> list[float]:
     """Words taken from each pattern: the flow that fills the quotas as far as they can be, at the least cost.
 
-    The k-th copy of a word costs k - 1 (and a trace more for patterns of fewer sources, so that results are unique).
-    Successive shortest paths with potentials; the arcs from the start are the copies of each pattern."""
-    sources = list(quota)
-    n_p, n_s = len(patterns), len(sources)
-    start, end, size = n_p + n_s, n_p + n_s + 1, n_p + n_s + 2
-    to: list[int] = []
-    room: list[float] = []
-    cost: list[float] = []
-    out: list[list[int]] = [[] for _ in range(size)]
-
-    def arc(a: int, b: int, capacity: float, price: float) -> None:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0.0, -price)):
-            out[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-
-    place = {s: n_p + k for k, s in enumerate(sources)}
-    copies: list[list[int]] = []
-    for k, (members, words) in enumerate(patterns):
-        copies.append([])
-        for c in range(most_copies):
-            copies[k].append(len(to))
-            arc(start, k, float(words), float(c))
-        for s in sorted(members, key=lambda s: place[s]):
-            arc(k, place[s], float("inf"), 0.0)
-    for s in sources:
-        arc(place[s], end, float(quota[s]), 0.0)
-    height = [0.0] * size
-    tiny = 1e-6
-    while True:
-        far = [float("inf")] * size
-        by = [-1] * size
-        far[start] = 0.0
-        heap = [(0.0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u] + 1e-12:
+    The k-th copy of a word costs k - 1, and all costs lie on the arcs from the start to the patterns. A path that fills
+    more never lessens what these arcs carry, so the cheapest flow is the largest one of first copies, enlarged as far as
+    second copies go, and so on: one network after the other, each by blocking flows (all shortest paths of a phase at once)."""
+    place = {s: k for k, s in enumerate(quota)}
+    need = [float(q) for q in quota.values()]
+    members = [sorted(place[s] for s in own) for own, _ in patterns]
+    sent: list[dict[int, float]] = [{} for _ in patterns]  # pattern -> source -> words
+    users: list[set[int]] = [set() for _ in need]
+    tiny = max(1e-6, 1e-13 * sum(need))
+    for _ in range(most_copies):
+        left = [float(words) for _, words in patterns]
+        while True:
+            far_p, far_s = [-1] * len(left), [-1] * len(need)
+            edge = [k for k, w in enumerate(left) if w > tiny]
+            for k in edge:
+                far_p[k] = 0
+            starts, depth, open_ = edge, 0, False
+            while edge and not open_:
+                reached = []
+                for k in edge:
+                    for s in members[k]:
+                        if far_s[s] < 0:
+                            far_s[s] = depth + 1
+                            reached.append(s)
+                            open_ = open_ or need[s] > tiny
+                depth += 2
+                edge = []
+                for s in reached if not open_ else ():
+                    for k in users[s]:
+                        if far_p[k] < 0:
+                            far_p[k] = depth
+                            edge.append(k)
+            if not open_:
+                break
+            at_p, at_s, ways = [0] * len(left), [0] * len(need), [sorted(u) for u in users]
+            for k in starts:
+                while left[k] > tiny and _augment(k, left, need, members, sent, users, far_p, far_s, at_p, at_s, ways, tiny):
+                    pass
+    return [sum(x.values()) for x in sent]
+
+
+def _augment(first: int, left, need, members, sent, users, far_p, far_s, at_p, at_s, ways, tiny: float) -> bool:
+    """Send what one shortest path from a pattern to an open source can carry; False where there is none any more."""
+    path = [first]  # pattern, source, pattern, …: from a source back to a pattern goes what that pattern sent there
+    while path:
+        u = path[-1]
+        if len(path) % 2:
+            own = members[u]
+            while at_p[u] < len(own) and far_s[own[at_p[u]]] != far_p[u] + 1:
+                at_p[u] += 1
+            if at_p[u] < len(own):
+                path.append(own[at_p[u]])
                 continue
-            for e in out[u]:
-                if room[e] > tiny:
-                    nd = d + cost[e] + height[u] - height[to[e]]
-                    if nd < far[to[e]] - 1e-9:
-                        far[to[e]], by[to[e]] = nd, e
-                        heapq.heappush(heap, (nd, to[e]))
-        if by[end] < 0:
-            break
-        height = [h + (f if f < float("inf") else 0.0) for h, f in zip(height, far, strict=True)]
-        amount, v = float("inf"), end
-        while v != start:
-            amount, v = min(amount, room[by[v]]), to[by[v] ^ 1]
-        v = end
-        while v != start:
-            room[by[v]] -= amount
-            room[by[v] ^ 1] += amount
-            v = to[by[v] ^ 1]
-    return [sum(room[e ^ 1] for e in copies[k]) for k in range(n_p)]
+            path.pop()
+            if path:
+                at_s[path[-1]] += 1
+            continue
+        if need[u] > tiny:
+            amount = min(left[first], need[u], *(sent[path[k + 1]][path[k]] for k in range(1, len(path) - 1, 2)))
+            left[first] -= amount
+            need[u] -= amount
+            for k in range(0, len(path), 2):
+                pattern, source = path[k], path[k + 1]
+                sent[pattern][source] = sent[pattern].get(source, 0.0) + amount
+                users[source].add(pattern)
+                if k:
+                    sent[pattern][path[k - 1]] -= amount
+                    if sent[pattern][path[k - 1]] <= tiny:
+                        users[path[k - 1]].discard(pattern)
+            return True
+        while at_s[u] < len(ways[u]) and (far_p[ways[u][at_s[u]]] != far_s[u] + 1 or sent[ways[u][at_s[u]]].get(u, 0.0) <= tiny):
+            at_s[u] += 1
+        if at_s[u] < len(ways[u]):
+            path.append(ways[u][at_s[u]])
+        else:
+            path.pop()
+            at_p[path[-1]] += 1
+    return False
 
 
 #: Whether a row is drawn by one of its pattern's picks: all that fitted the words missing then, up to a place in the order or at it (edge -1).
@@ -119,6 +142,10 @@ def _key_type(rows: DataFrame) -> str:
     return f"struct<order: long, doc_id: {rows.schema['doc_id'].dataType.simpleString()}, size: long>"
 
 
+def _few(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= FEW_PATTERNS else table.hint("merge")
+
+
 def _draw(rows: DataFrame, rest: dict[tuple, int]) -> dict[tuple, list]:
     """The picks (see ``_DRAWN``) that fill each pattern's rest until what is missing is less than its smallest row left.
 
@@ -129,7 +156,7 @@ def _draw(rows: DataFrame, rest: dict[tuple, int]) -> dict[tuple, list]:
     every = 1 << 52
     while lack:
         state = spark.createDataFrame([(list(p), n, picks[p]) for p, n in lack.items()], f"pattern array<string>, lack long, picks array<struct<lack: long, edge: long, upto: {_key_type(rows)}>>")
-        left = rows.join(F.broadcast(state), "pattern").filter("weight > 0 and weight <= lack").filter(f"not {_DRAWN}").drop("picks")
+        left = rows.join(_few(state, len(lack)), "pattern").filter("weight > 0 and weight <= lack").filter(f"not {_DRAWN}").drop("picks")
         sums = left.groupBy("pattern", "bin").agg(F.first("lack").alias("lack"), F.sum("weight").alias("words"), F.max(F.struct("weight", "order", "doc_id", "size")).alias("best"))
         # at most patterns * bins rows of sums, dealt by pattern
         sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
@@ -137,7 +164,7 @@ def _draw(rows: DataFrame, rest: dict[tuple, int]) -> dict[tuple, list]:
             F.max("best").alias("best"), F.min(F.when(F.col("upto") > F.col("lack"), F.col("bin"))).alias("edge"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("lack"), F.col("upto"))), F.lit(0)).alias("before")).collect()
         edges = spark.createDataFrame([(r["pattern"], r["edge"], r["before"]) for r in ends if r["edge"] is not None], "pattern array<string>, edge long, before long")
         # ranked are only the rows of one bin in each pattern
-        inside = left.join(F.broadcast(edges), "pattern").filter("bin = edge")
+        inside = left.join(_few(edges, len(ends)), "pattern").filter("bin = edge")
         inside = inside.withColumn("upto", F.col("before") + F.sum("weight").over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
         fit = inside.filter("upto <= lack").groupBy("pattern").agg(F.max("upto").alias("got"), F.max(F.struct("order", "doc_id", "size")).alias("key")).collect()
         last = {tuple(r["pattern"]): r for r in fit}
@@ -155,6 +182,16 @@ def _draw(rows: DataFrame, rest: dict[tuple, int]) -> dict[tuple, list]:
     return picks
 
 
+def _pattern(sources: Column | None) -> Column:
+    """A row's sources, sorted; "t" is the null source and comes after all others."""
+    names = sources if sources is not None else F.array(F.col("source").cast("string"))
+    return F.array_sort(F.array_distinct(F.transform(names, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("t")))))
+
+
+def _order(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(1 << 52))
+
+
 def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = WEIGHTS, most_copies: int = MOST_COPIES, seed: int = SEED,
         bins: int = BINS, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """Every row of ``docs`` with size (words), source_size, target (of its first source) and copies (how often the mix
@@ -165,11 +202,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     are treated alike. An empty table gives an empty result; without any words all targets are 0. The seeded order
     depends on doc_id and the words' number only, so that reruns agree."""
     work = Workspace(docs.sparkSession, "mixing")
-    names = sources if sources is not None else F.array(F.col("source").cast("string"))
-    rows = docs.select(
-        F.col("doc_id"), n_words().alias("size"),
-        F.array_sort(F.array_distinct(F.transform(names, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("t"))))).alias("pattern"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(1 << 52)).alias("order"))
+    rows = docs.select(F.col("doc_id"), n_words().alias("size"), _pattern(sources).alias("pattern"), _order(seed).alias("order"))
     wide = (1 << 52) // bins
     rows = rows.groupBy("pattern", "order", "doc_id", "size").agg(F.count("*").alias("n"))  # repeated rows are drawn together
     rows = work.save(rows.withColumn("bin", F.floor(F.col("order") / wide)).withColumn("weight", F.col("size") * F.col("n")), "sizes")
@@ -198,7 +231,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     picks = f"array<struct<lack: long, edge: long, upto: {_key_type(rows)}>>"
     told = docs.sparkSession.createDataFrame(  # at most most_patterns rows
         [(*p[:4], drawn.get(tuple(p[0]), [])) for p in plan], f"pattern array<string>, source_size long, target double, rounds int, picks {picks}")
-    out = rows.join(F.broadcast(told), "pattern").withColumn("copies", F.col("rounds") + F.expr(f"if({_DRAWN}, 1, 0)"))
+    out = rows.join(_few(told, len(plan)), "pattern").withColumn("copies", F.col("rounds") + F.expr(f"if({_DRAWN}, 1, 0)"))
     # repeated rows come back in pieces, so that no row holds all of them
     out = out.withColumn("piece", F.explode(F.expr("sequence(0L, (n - 1) div 4096)"))).withColumn("k", F.explode(F.expr("sequence(1L, least(4096L, n - piece * 4096))")))
     return out.select("doc_id", "pattern", "order", "size", "source_size", "target", "copies")
@@ -210,15 +243,13 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows without words are not taken.
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
-    Rows that share doc_id and all that decides (source, size, order) are taken alike."""
+    Null, empty and blank texts are not taken; rows that share doc_id, sources and text are taken alike; doc_id and
+    source may be null; an empty table, or one without words, gives an empty result; other columns pass whatever their names."""
     work = Workspace(docs.sparkSession, "mixed")
-    copies = work.save(
-        mix(docs, **parameters).filter("copies > 0 and size > 0").groupBy("doc_id", "order").agg(F.max("copies").alias("copies")), "copies")
-    seed = parameters.get("seed", SEED)
-    order = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))), F.lit(1 << 52))
-    a = docs.withColumn("mix_order_", order)
-    met = a.join(copies.select(F.col("doc_id").alias("mix_id_"), F.col("order").alias("mix_at_"), F.col("copies").alias("mix_copies_")),
-                 F.col("doc_id").eqNullSafe(F.col("mix_id_")) & (F.col("mix_order_") == F.col("mix_at_")))
+    copies = work.save(mix(docs, **parameters).filter("copies > 0 and size > 0").groupBy("doc_id", "order", "pattern").agg(F.max("copies").alias("copies")), "copies")
+    a = docs.withColumn("mix_order_", _order(parameters.get("seed", SEED))).withColumn("mix_pattern_", _pattern(parameters.get("sources")))
+    met = a.join(copies.select(F.col("doc_id").alias("mix_id_"), F.col("order").alias("mix_at_"), F.col("pattern").alias("mix_of_"), F.col("copies").alias("mix_copies_")),
+                 F.col("doc_id").eqNullSafe(F.col("mix_id_")) & (F.col("mix_order_") == F.col("mix_at_")) & (F.col("mix_pattern_") == F.col("mix_of_")))
     return met.withColumn("mix_copy_", F.explode(F.expr("sequence(1, mix_copies_)"))).select(*docs.columns)
