@@ -3,8 +3,9 @@
 Tokens are the words of a text, A-Z lowered, and one end. Counts of all training words are gathered over the cluster;
 the ``most_words`` most frequent ones, the end, and the class of all other words are the symbols that the latent
 states emit. States are trained by Baum-Welch: every round, each partition runs the scaled forward and backward
-recursions over its training texts and sends expected counts, which are added up by symbol. Before that, the states
-are set apart on a bounded sample of texts on the driver. The score of a text is its exact likelihood by the scaled
+recursions over its training texts and sends expected counts, which are added up by symbol; rounds go on until the
+likelihood of a token grows by less than ``SETTLED`` or ``rounds`` are done. Before that, the states are set apart by
+rounds on a bounded sample of whole texts on the driver, those with the least hashes of their ids at every input size. The score of a text is its exact likelihood by the scaled
 forward recursion. A word of the rare class has the probability of the class in its state times its share of the
 class by counts, so the rare words' part adds up apart: their counts are met in a join and never broadcast.
 
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import as_binary, words
-from .workspace import Workspace
+from .workspace import Workspace, least_hashes
 
-STATES, MOST_WORDS, ROUNDS, SAMPLE_TEXTS, SAMPLE_ROUNDS, ADD, PRIOR, SEED = 8, 65_000, 2, 600, 12, 0.1, 5.0, 3
+STATES, MOST_WORDS, ROUNDS, SETTLED, SAMPLE_TEXTS, SAMPLE_ROUNDS, ADD, PRIOR, SEED = 8, 65_000, 4, 0.002, 600, 12, 0.1, 5.0, 3
 
 
 @dataclass
@@ -78,8 +79,8 @@ def likelihoods(model: Hmm, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Hmm, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions by the forward and backward recursions."""
+def expected(model: Hmm, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions by the forward and backward recursions, and the texts' log10 likelihood."""
     batch = Batch(texts)
     alpha, scale, emitted = forward(model, batch)
     moves, beta, ahead = np.zeros_like(model.move), np.ones((0, model.move.shape[0])), 0
@@ -95,7 +96,7 @@ def expected(model: Hmm, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
         alpha[a : a + n] *= now
     symbols, states = model.emit.shape
     emits = np.column_stack([np.bincount(batch.symbols, weights=alpha[:, s], minlength=symbols) for s in range(states)])
-    return alpha[: batch.active[0]].sum(axis=0), moves * model.move, emits
+    return alpha[: batch.active[0]].sum(axis=0), moves * model.move, emits, float(np.log10(scale).sum())
 
 
 def improved(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, common: np.ndarray, prior: float = PRIOR) -> Hmm:
@@ -112,7 +113,8 @@ def begin(common: np.ndarray, sample: list[np.ndarray], states: int, rounds: int
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     model = Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
     for _ in range(rounds if sample else 0):
-        model = improved(*expected(model, sample), common)
+        added = [expected(model, part)[:3] for part in groups(sample)]
+        model = improved(*(sum(x) for x in zip(*added, strict=True)), common)
     return model
 
 
@@ -172,17 +174,18 @@ def _symbols(packed: list[bytes], end: int) -> list[np.ndarray]:
 
 
 def _expector(held):
-    """Symbols of texts -> expected counts; the rows after the symbols are the starts and the moves."""
+    """Symbols of texts -> expected counts; the rows after the symbols are the starts, the moves and the likelihood."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Hmm = held.value
         symbols, states = model.emit.shape
-        total = np.zeros((symbols + 1 + states, states))
+        total = np.zeros((symbols + 2 + states, states))
         for batch in batches:
             for part in groups(_symbols(batch.column(0).to_pylist(), symbols - 1)):
-                starts, moves, emits = expected(model, part)
+                starts, moves, emits, likelihood = expected(model, part)
                 total[:symbols] += emits
                 total[symbols] += starts
-                total[symbols + 1 :] += moves
+                total[symbols + 1 : symbols + 1 + states] += moves
+                total[-1] += likelihood
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, s]) for s in range(states))], ["symbol", *(f"g{s}" for s in range(states))])
     return run
@@ -213,7 +216,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 10 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, states: int = STATES, most_words: int = MOST_WORDS, rounds: int = ROUNDS, sample_texts: int = SAMPLE_TEXTS, seed: int = SEED) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, most_words: int = MOST_WORDS, rounds: int = ROUNDS, sample_texts: int = SAMPLE_TEXTS, settled: float = SETTLED, seed: int = SEED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     ``score`` is the log10 probability of the text by the hidden Markov model, ``base_score`` by single words with
@@ -222,8 +225,7 @@ def score(docs: DataFrame, states: int = STATES, most_words: int = MOST_WORDS, r
     gives an empty result."""
     if most_words + 2 > 65_536:
         raise ValueError("symbols are kept in 16 bits")
-    spark = docs.sparkSession
-    work = Workspace(spark, "hmm")
+    work = Workspace(docs.sparkSession, "hmm")
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     training = rows.filter(~F.col("held_out"))
@@ -242,24 +244,26 @@ def score(docs: DataFrame, states: int = STATES, most_words: int = MOST_WORDS, r
     frequent, often = [w for _, w in best], np.array([-c for c, _ in best], dtype=float)
     rare_mass = max(known["n"] - often.sum() + ADD * (known["v"] - len(frequent)) + ADD, ADD)
     shares = np.concatenate([often + ADD, [rare_mass, ends + ADD]])
-    encoded = work.save(rows.mapInArrow(_encoder(spark.sparkContext.broadcast(frequent)), f"row long, doc_id {kind}, held_out boolean, ids binary, rare array<long>, times array<long>"), "encoded")
+    encoded = work.save(rows.mapInArrow(_encoder(work.broadcast(frequent)), f"row long, doc_id {kind}, held_out boolean, ids binary, rare array<long>, times array<long>"), "encoded")
     common = shares / shares.sum()
     texts = encoded.filter(~F.col("held_out"))
-    few = int(min(1.0, sample_texts / max(ends, 1)) * 1_000_000)  # about sample_texts of them, by a hash
-    drawn = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < few).select("ids").toArrow().column(0).to_pylist()
-    sample = sorted(_symbols(sorted(drawn), len(common) - 1), key=len)
-    model = begin(common, sample[: int(len(sample) * 0.98)], states, SAMPLE_ROUNDS, seed)
+    drawn = least_hashes(texts, F.col("doc_id"), sample_texts, ends, seed).select("ids").toArrow().column(0).to_pylist()
+    model, last = begin(common, _symbols(sorted(drawn), len(common) - 1), states, SAMPLE_ROUNDS, seed), -np.inf
     for _ in range(rounds if ends else 0):
-        held = spark.sparkContext.broadcast(model)
+        held = work.broadcast(model)
         found = texts.select("ids").mapInArrow(_expector(held), "symbol int, " + ", ".join(f"g{s} double" for s in range(states)))
         added = found.groupBy("symbol").agg(*(F.sum(f"g{s}").alias(f"g{s}") for s in range(states))).toArrow()  # a row for each symbol at most
-        total = np.zeros((len(common) + 1 + states, states))
+        total = np.zeros((len(common) + 2 + states, states))
         total[added.column(0).to_numpy()] = np.column_stack([added.column(s + 1).to_numpy() for s in range(states)])
-        model = improved(total[len(common)], total[len(common) + 1 :], total[: len(common)], common)
-        held.unpersist()
+        model = improved(total[len(common)], total[len(common) + 1 : -1], total[: len(common)], common)
+        work.forget(held)
+        now = total[-1, 0] / n
+        if now - last < settled:
+            break
+        last = now
     logs = np.log10(np.concatenate([often + ADD, [1.0, ends + ADD]]))  # rare words add theirs later
     scored = encoded.select("row", "doc_id", "held_out", "ids").mapInArrow(
-        _scorer(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(logs)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_rare long, plain double, score double")
+        _scorer(work.broadcast(model), work.broadcast(logs)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_rare long, plain double, score double")
     pairs = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
     met = pairs.join(counts.select(F.xxhash64("word").alias("hash"), "c").hint("merge"), "hash", "left")
     others = met.groupBy("row").agg(
