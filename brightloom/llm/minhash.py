@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -29,7 +29,8 @@ from .workspace import Workspace
 SHINGLE, THRESHOLD, COORDINATES, BANDS, ROWS = 5, 75, 512, 40, 5
 #: Bits of each coordinate that pairs of a bucket are compared by.
 PLANES = 2
-#: Bits of the filter that keeps texts without candidates out of the second pass; its size never grows.
+#: Bits of the filter that keeps texts without candidates out of the second pass; its size never grows: beyond one
+#: candidate for 8 bits a join does the same.
 FILTER_BITS = 1 << 26
 _BUCKET_BITS = 32768
 
@@ -103,18 +104,21 @@ def _sketcher(size: int, t: int, bands: int, rows: int):
     return run
 
 
-def _full_sets(size: int, bitmap):
-    """Shingle sets of the documents whose id may be a candidate's."""
+def _full_sets(size: int, bitmap=None):
+    """Shingle sets of the documents; with a bitmap, of those whose id may be a candidate's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bits = WordHashes(), np.frombuffer(bitmap.value, dtype=np.uint8)
+        cache, bits = WordHashes(), np.frombuffer(bitmap.value, dtype=np.uint8) if bitmap else None
         for batch in batches:
-            place = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            if bits is not None:
+                place = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             texts = as_binary(batch.column(1)).to_pylist()
             for a, b in pieces(texts):
                 values, starts = shingle_sets(texts[a:b], size, cache)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["node", "set"])
+        cache.clear()
+        release()
     return run
 
 
@@ -122,7 +126,7 @@ def _place(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def _bitmap(spark: SparkSession, nodes: DataFrame):
+def _bitmap(work: Workspace, nodes: DataFrame):
     """A bitmap of FILTER_BITS bits of the nodes; at most FILTER_BITS / 8 bytes reach the driver."""
     rows = (
         nodes.select(_place("node").alias("p"))
@@ -132,25 +136,31 @@ def _bitmap(spark: SparkSession, nodes: DataFrame):
     out = bytearray(FILTER_BITS // 8)
     for r in rows.toLocalIterator():
         out[r["b"] * _BUCKET_BITS // 8 : (r["b"] + 1) * _BUCKET_BITS // 8] = r["bits"]
-    return spark.sparkContext.broadcast(bytes(out))
+    return work.broadcast(bytes(out))
 
 
-def _verified(work: Workspace, docs: DataFrame, pairs: DataFrame, size: int, threshold: int, name: str) -> DataFrame:
+def _verified(work: Workspace, docs: DataFrame, pairs: DataFrame, size: int, threshold: int, name: str, filter_bits: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as edges (u, v)."""
-    bitmap = _bitmap(work.spark, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    sets = work.save(
-        docs.filter("doc_id is not null").select("doc_id", "text", _place("doc_id").alias("place"))
-        .mapInArrow(_full_sets(size, bitmap), "node long, set array<long>"), f"{name}_sets")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    named = docs.filter("doc_id is not null")
+    few = ends.agg(F.approx_count_distinct("node")).first()[0] <= filter_bits // 8
+    if few:
+        bitmap = _bitmap(work, ends)
+        texts, sets = named.select("doc_id", "text", _place("doc_id").alias("place")), _full_sets(size, bitmap)
+    else:  # too many for a filter of a bounded size: their texts are shuffled once
+        texts, sets = named.select("doc_id", "text").join(ends.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), _full_sets(size)
+    sets = work.save(texts.mapInArrow(sets, "node long, set array<long>"), f"{name}_sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
     common = both.select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), F.size(F.array_intersect("set_a", "set_b")).alias("i"))
     edges = work.save(common.filter(f"100 * i >= {threshold} * (na + nb - i)").select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}_edges")
     work.drop(f"{name}_sets")
-    bitmap.unpersist()
+    if few:
+        work.forget(bitmap)
     return edges
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string; others ignored).
 
     Two documents are linked when 100 * intersection >= threshold * union of their shingle sets; component_id is the
@@ -179,7 +189,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         member.filter("node <> hub").filter(near.format("n", "hub_n")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b"))
         .agg(F.lit(1).alias("one")).select("a", "b"), "first")
     work.drop("shared")
-    edges = _verified(work, docs, first, size, threshold, "one").unionByName(same_id)
+    edges = _verified(work, docs, first, size, threshold, "one", filter_bits).unionByName(same_id)
     joined = components(work, edges, "cc_one")
     part = work.save(joined, "part_one")
     # what a bucket still holds in different components
@@ -200,7 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     )
     second = work.save(second, "second")
     if second.limit(1).count():
-        more = _verified(work, docs, second, size, threshold, "two")
+        more = _verified(work, docs, second, size, threshold, "two", filter_bits)
         linked = more.join(part.select(F.col("node").alias("u"), F.col("component").alias("cu")).hint("merge"), "u", "left")
         linked = linked.join(part.select(F.col("node").alias("v"), F.col("component").alias("cv")).hint("merge"), "v", "left")
         over = components(work, linked.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), "cc_two")
@@ -220,7 +230,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    found = near_duplicates(docs, **parameters).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return stay.join(found, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` that stay, with all their columns: one document of each group, that of the least doc_id.
+
+    Rows without a doc_id and texts without words stay. Of rows that share a doc_id one stays, the first by a hash of
+    its columns, whatever their texts. Null, empty and very long texts are told apart as in ``near_duplicates``; an
+    empty table gives an empty result; extra columns pass whatever their names."""
+    found = near_duplicates(docs, **parameters).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id_")).distinct()
+    stay = docs.join(found.hint("merge"), F.col("doc_id") == F.col("kept_id_"), "left_semi")
+    # the join's partitions serve the ranking too
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), "text"))
+    return stay.withColumn("rank_", first).filter("rank_ = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import release
-from .workspace import Workspace
+from .workspace import ARROW_ROWS, Workspace, least_hashes
 
 ORDER, DISCOUNT, MOST_TOXIC, MOST_ORDINARY, CUT = 5, 0.75, 8_000, 16_000, 0.3
 _BEGIN, _END = "\x02" * (ORDER - 1), "\x03"
@@ -179,6 +179,13 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told(tables)
 
 
+def _codes_of(grams: pa.StringArray) -> np.ndarray:
+    """The code points of n-grams, a row each, without a Python string for each."""
+    ends = np.frombuffer(grams.buffers()[1], dtype=np.int32)[grams.offset : grams.offset + len(grams) + 1]
+    text = bytes(grams.buffers()[2][ends[0] : ends[-1]]).decode() if len(grams) else ""
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER)
+
+
 def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY) -> Model:
     """Fit on labelled texts: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic). An id with several labels is toxic
     if one says so; labels other than 0 and 1 do not count."""
@@ -187,24 +194,21 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
     sizes = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = []
     for toxic, most in ((1, most_toxic), (0, most_ordinary)):
-        # about as many by a range of hashes, then at most as many: what reaches the driver does not grow
-        few = int(min(1.0, most / max(sizes.get(toxic, 0), 1)) * 1_000_000)
-        drawn = given.filter((F.col("toxic") == toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < few)).select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
-        picked += [(r["doc_id"], toxic) for r in sorted(drawn, key=lambda r: (r["h"], r["doc_id"]))[:most]]
+        drawn = least_hashes(given.filter(F.col("toxic") == toxic), F.col("doc_id"), most, sizes.get(toxic, 0))
+        picked += [(r["doc_id"], toxic) for r in drawn.collect()]
     chosen = work.spark.createDataFrame(picked, "doc_id long, toxic int")  # at most most_toxic + most_ordinary rows
     half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = work.save(texts.join(F.broadcast(chosen), "doc_id").select((F.col("toxic") * 2 + half).alias("part"), "text"), "sample")
     counted = sample.mapInArrow(_counter, "gram string, c0 long, c1 long, c2 long, c3 long").groupBy("gram").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(4)))
-    parts: list[dict[str, int]] = [{}, {}, {}, {}]
     table = counted.toArrow()  # n-grams of the bounded sample
-    codes = np.frombuffer("".join(table.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, ORDER)
+    codes = np.concatenate([_codes_of(c) for c in table.column(0).chunks] or [np.zeros((0, ORDER), np.uint32)])
     parts = [table.column(k + 1).to_numpy().astype(float) for k in range(4)]
     del table
     order = np.argsort(keys_of(codes))
     codes, parts = codes[order], [p[order] for p in parts]
     shared = shared_chances(codes)
-    halves = work.spark.sparkContext.broadcast([fit_counts(codes, parts[2 + k], parts[k], shared) for k in range(2)])
+    halves = work.broadcast([fit_counts(codes, parts[2 + k], parts[k], shared) for k in range(2)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features of each labelled text by the model of the other half."""
@@ -222,7 +226,7 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
     seen = np.column_stack([c.to_numpy().astype(float) for c in judged.columns])
     seen = seen[np.lexsort(seen.T)]
     model = fit_counts(codes, parts[2] + parts[3], parts[0] + parts[1], shared)
-    halves.unpersist()
+    work.forget(halves)
     toxic = seen[:, 0] >= 2
     if 0 < toxic.sum() < len(seen):
         weight = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
@@ -235,15 +239,17 @@ def learn(work: Workspace, docs: DataFrame, labels: DataFrame, most_toxic: int =
     return model
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, model: Model, work: Workspace | None = None) -> DataFrame:
     """doc_id and score for every row of ``docs``: 0 to 1, higher where toxicity is likelier."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = (work or Workspace(docs.sparkSession, "toxicity")).broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, judge = held.value, Judge(held.value)
         for batch in batches:
-            out = [model.score(f) for f in judge.features(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            for at in range(0, batch.num_rows, ARROW_ROWS):
+                part = batch.slice(at, ARROW_ROWS)
+                out = [model.score(f) for f in judge.features(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
         del judge
         release()
 
@@ -263,21 +269,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     labels all scores are near 0. Repeated rows stay repeated; an empty table gives an empty result."""
     work = Workspace(docs.sparkSession, "toxicity")
     model = learn(work, docs, labels.filter(may_learn()))
-    return scores(docs, model).select("doc_id", (~may_learn()).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return scores(docs, model, work).select("doc_id", (~may_learn()).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names.
+
+    Null, empty and very long texts, repeated rows and rows without a doc_id are judged as in ``toxicity``; without
+    labels nothing goes; an empty table gives an empty result."""
     work = Workspace(docs.sparkSession, "toxicity")
     model = learn(work, docs, labels.filter(may_learn()))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = work.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, judge = held.value, Judge(held.value)
         for batch in batches:
-            keep = [model.score(f) < cut for f in judge.features(batch.column(at).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for row in range(0, batch.num_rows, ARROW_ROWS):
+                part = batch.slice(row, ARROW_ROWS)
+                keep = [model.score(f) < cut for f in judge.features(part.column(at).to_pylist())]
+                yield part.filter(pa.array(keep, pa.bool_()))
         del judge
         release()
 
