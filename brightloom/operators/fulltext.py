@@ -71,9 +71,9 @@ def parse_natural(query: str, stop_words: Iterable[str] = STOP_WORDS, blend: str
 
 
 def parse_boolean(query: str, stop_words: Iterable[str] = STOP_WORDS) -> list[Term]:
-    """Operators bind to the word or phrase that follows."""
+    """Operators bind to the word or phrase that follows, also after blanks; of several signs the last counts."""
     out = []
-    for sign, phrase, word, star in re.findall("([+-]?)(?:\"([^\"]*)\"|([0-9A-Za-z\u0080-\U0010ffff]+)(\\*?))", query):
+    for sign, phrase, word, star in re.findall("([+-]?)\\s*(?:\"([^\"]*)\"|([0-9A-Za-z\u0080-\U0010ffff]+)(\\*?))", query):
         if phrase:
             words = tuple(t.text for t in parse_natural(phrase, stop_words))
             if words:

@@ -323,8 +323,7 @@ def intersect(t: Tables):
 
 @query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
 def except_(t: Tables):
-    return t.nation.select(F.col("n_nationkey").alias("k")).exceptAll(t.supplier.filter("s_acctbal > 0").select("s_nationkey")).distinct().join(
-        t.supplier.filter("s_acctbal > 0"), F.col("k") == F.col("s_nationkey"), "left_anti")
+    return t.nation.select(F.col("n_nationkey").alias("k")).subtract(t.supplier.filter("s_acctbal > 0").select("s_nationkey"))
 
 
 # --- scalar functions

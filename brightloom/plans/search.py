@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import spatial, vector
 from brightloom.operators import fulltext
+from brightloom.operators.ftindex import FullTextIndex
 from brightloom.plans.registry import Tables, query
+from brightloom.sources import scratch
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS) + "]"
 
@@ -17,19 +19,43 @@ def _words(stop: str = _STOP, text: str = "text") -> str:
             f"lambda w: length(w) BETWEEN 3 AND 84 AND NOT list_contains({stop}, w))")
 
 
-_BASE = f"ix AS (SELECT doc_id, w, len(w) AS dl FROM (SELECT doc_id, {_words()} AS w FROM documents)), st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM ix)"
+def _base(documents: str = "documents") -> str:
+    return f"ix AS (SELECT doc_id, w, len(w) AS dl FROM (SELECT doc_id, {_words()} AS w FROM {documents})), st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM ix)"
 
 
-def _scored(terms: list[str], where: str) -> str:
+_BASE = _base()
+
+
+def _scored(terms: list[str], where: str, documents: str = "documents") -> str:
     """BM25 over whole words; ``where`` picks documents by tf0, tf1, …"""
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{k}" for k, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in range(len(terms)))
     score = " + ".join(f"ln((n - df{k} + 0.5) / (df{k} + 0.5) + 1) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(terms)))
-    return f"WITH {_BASE}, tf AS (SELECT *, {tf} FROM ix), df AS (SELECT {df} FROM tf) SELECT doc_id, round({score}, 6) AS score FROM tf, st, df WHERE {where}"
+    return f"WITH {_base(documents)}, tf AS (SELECT *, {tf} FROM ix), df AS (SELECT {df} FROM tf) SELECT doc_id, round({score}, 6) AS score FROM tf, st, df WHERE {where}"
+
+
+_stored: dict[tuple[str, str], FullTextIndex] = {}
+_CHANGED = "doc_id % 10 = 3"
+_NEW_TEXT = "a license to change the version of this worthless text"
+
+
+def _index(t: Tables) -> FullTextIndex:
+    """The stored index of the documents, built once in a session and then read by every search. Version 1 is the table; version 2 has some texts
+    changed, version 3 has some documents less."""
+    key = (t.spark.sparkContext.applicationId, t.directory)
+    if key not in _stored:
+        _stored[key] = FullTextIndex.create(t.documents, scratch.folder(t.spark, "fulltext"), "doc_id", ["text"])
+    return _stored[key]
 
 
-def _found(t: Tables, q: str, boolean: bool = True):
-    return fulltext.match(t.documents, "doc_id", F.col("text"), q, boolean).select(F.col("doc_key").alias("doc_id"), F.round("score", 6).alias("score"))
+def _found(t: Tables, q: str, boolean: bool = True, version: int = 1):
+    ix = _index(t)
+    if version > 1 and ix.version() < 2:
+        old = t.documents.filter(_CHANGED)
+        ix.update(old, old.withColumn("text", F.lit(_NEW_TEXT)))
+    if version > 2 and ix.version() < 3:
+        ix.delete(t.documents.filter("doc_id % 10 = 7"))
+    return ix.match(q, boolean, version).select(F.col("doc_key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, CAST(len(w) AS INT) AS doc_len, len(list_distinct(w)) AS n_terms FROM (SELECT doc_id, {_words()} AS w FROM documents)")
@@ -40,7 +66,7 @@ def fts_tokenize_stats(t: Tables):
 
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_words()}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def fts_postings(t: Tables):
-    return fulltext.postings(fulltext.index(t.documents, "doc_id", F.col("text"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _index(t).postings(1).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("SELECT s.doc_id, score, quality, toxic FROM (" + _scored(["only", "license", "worthless"], "tf0 + tf1 + tf2 > 0") + ") s LEFT JOIN labels l ON s.doc_id = l.doc_id ORDER BY score DESC, s.doc_id LIMIT 20")
@@ -70,6 +96,19 @@ def fts_phrase(t: Tables):
     return _found(t, '"general public license"')
 
 
+_AFTER = f"(SELECT doc_id, CASE WHEN {_CHANGED} THEN '{_NEW_TEXT}' ELSE text END AS text FROM documents)"
+
+
+@query(_scored(["license", "worthless"], "tf0 + tf1 > 0", _AFTER))
+def fts_after_update(t: Tables):
+    return _found(t, "license worthless", False, 2)
+
+
+@query(_scored(["license", "worthless"], "tf0 > 0 AND NOT list_contains(w, 'apache')", f"(SELECT * FROM {_AFTER} WHERE doc_id % 10 <> 7)"))
+def fts_after_delete(t: Tables):
+    return _found(t, "+ license - apache worthless", True, 3)
+
+
 @query(f"WITH {_BASE} SELECT count(*) AS n FROM ix WHERE list_contains(w, 'license') OR list_contains(w, 'idiot')")
 def fts_match_count(t: Tables):
     return _found(t, "license idiot", False).agg(F.count("*").alias("n"))
