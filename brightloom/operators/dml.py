@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.sources.scratch import shared_folder
+
 
 class DuplicateKeyError(Exception):
     """Rows would share a unique key."""
@@ -42,12 +45,19 @@ def update(table: DataFrame, where: Column, changes: dict[str, Column], key: Seq
 
 
 def update_join(table: DataFrame, other: DataFrame, key: Sequence[str], changes: dict[str, Column], where: Column | None = None) -> DataFrame:
-    """Rows that meet a row of ``other`` (unique by key) get values computed from both."""
-    met = table.join(other.withColumn("met_", F.lit(True)), list(key), "left")
+    """Rows that meet a row of ``other`` get values computed from both; DuplicateKeyError if several rows of it share a key."""
+    met = table.join(check_unique(other, key).withColumn("met_", F.lit(True)), list(key), "left")
     hit = F.col("met_").isNotNull() & (F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
     return met.select(*(F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in table.columns))
 
 
+def update_in(table: DataFrame, column: str, values: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    """Rows whose column is IN (values), a subquery of one column, get new values; nulls match nothing."""
+    found = values.select(F.col(values.columns[0]).alias("in_")).filter("in_ is not null").distinct().withColumn("met_", F.lit(True))
+    met = table.join(found, F.col(column) == F.col("in_"), "left")
+    return met.select(*(F.when(F.col("met_"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in table.columns))
+
+
 def delete(table: DataFrame, where: Column) -> DataFrame:
     """Rows stay unless ``where`` is true; null keeps them."""
     return table.filter(~F.coalesce(where, F.lit(False)))
@@ -58,39 +68,121 @@ def delete_matching(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> Dat
     return table.join(keys.select(*on).distinct(), list(on), "left_anti").select(*table.columns)
 
 
+def delete_not_in(table: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows for which column NOT IN (values) is true go: all of them for no values, none if one value is null, and never
+    a row whose column is null unless there are no values."""
+    name = values.columns[0]
+    bounds = values.agg(F.count("*").alias("all_n"), F.count(name).alias("all_known"))
+    found = values.select(F.col(name).alias("in_")).filter("in_ is not null").distinct().withColumn("met_", F.lit(True))
+    met = table.join(found, F.col(column) == F.col("in_"), "left").crossJoin(F.broadcast(bounds))  # one row
+    return met.filter((F.col("all_n") > 0) & ((F.col("all_known") < F.col("all_n")) | F.col("met_") | F.col(column).isNull())).select(*table.columns)
+
+
 def truncate(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
-def replace(table: DataFrame, rows: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
-    """New rows take the place of those with their key; of several with one key the last by ``order`` wins."""
-    newest = rows
+def _several(keys: Sequence[str] | Sequence[Sequence[str]]) -> list[list[str]]:
+    return [list(keys)] if isinstance(keys[0], str) else [list(k) for k in keys]
+
+
+def replace(table: DataFrame, rows: DataFrame, keys: Sequence[str] | Sequence[Sequence[str]], order: str | None = None) -> DataFrame:
+    """New rows take the place of all rows that share one of their unique keys (one key, or a list of keys).
+
+    Rows go in by ``order``: one that shares a key with a later one is replaced by that, after it has itself replaced what stood
+    there. Without ``order`` the new rows' keys must be unique (DuplicateKeyError). A null in a key equals nothing."""
+    keys, newest = _several(keys), rows
+    for k in keys:
+        if not order:
+            newest = check_unique(newest, k)
+            continue
+        last = F.max(order).over(Window.partitionBy(*k))
+        known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in k))
+        newest = newest.withColumn(f"last_{'_'.join(k)}_", F.when(known, last))
     if order:
-        newest = rows.withColumn("rank_", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("rank_ = 1").drop("rank_")
-    newest = newest.select(*table.columns)
-    return delete_matching(table, newest, key).unionByName(newest)
-
-
-def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str], changes: dict[str, Column]) -> DataFrame:
-    """Rows with a new key are inserted; for the others the table's row is changed, by expressions over its columns and
-    the new row's, which are called ``new_<column>``. ``rows`` is unique by key."""
-    fresh = rows.select(*table.columns)
-    renamed = fresh.select(*(F.col(c).alias(f"new_{c}") for c in table.columns), F.lit(True).alias("has_new_"))
-    on = [table[k] == renamed[f"new_{k}"] for k in key]
-    met = table.withColumn("has_old_", F.lit(True)).join(renamed, on, "full_outer")
+        for k in keys:
+            newest = newest.filter(F.col(f"last_{'_'.join(k)}_").isNull() | (F.col(order) == F.col(f"last_{'_'.join(k)}_")))
+    left = table
+    for k in keys:
+        left = delete_matching(left, rows, k)
+    return left.unionByName(newest.select(*table.columns))
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str] | Sequence[Sequence[str]], changes: dict[str, Column], order: str | None = None, most_rounds: int = 100) -> DataFrame:
+    """Rows with new keys are inserted; for the others the table's row is changed, by expressions over its columns and
+    the new row's, which are called ``new_<column>``. With several unique keys, the first is the table's own (not null),
+    and the first by which a new row meets one says which row is changed.
+
+    Rows go in by ``order``; the k-th of one key sees what those before it did, round by round, so the number of rounds is that of the
+    commonest key (more than ``most_rounds`` are refused). Without ``order`` the batch must be unique by each key."""
+    keys = _several(keys)
+    if order is None:
+        for k in keys:
+            rows = check_unique(rows, k)
+        return _upsert_once(table, rows, keys, changes)
+    ranks = [F.row_number().over(Window.partitionBy(*k).orderBy(order)) for k in keys]
+    known = [reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in k)) for k in keys]
+    ranked = rows.withColumn("round_", F.greatest(*(F.when(n, r).otherwise(1) for n, r in zip(known, ranks, strict=True)), F.lit(1)))
+    rounds = ranked.agg(F.max("round_")).first()[0] or 0
+    if rounds > most_rounds:
+        raise ValueError(f"a key stands {rounds} times in one batch")
+    for k in range(1, rounds + 1):
+        part = ranked.filter(F.col("round_") == k).drop("round_")
+        for key in keys:
+            part = check_unique(part, key)
+        table = _upsert_once(table, part, keys, changes)
+    return table
+
+
+def _upsert_once(table: DataFrame, rows: DataFrame, keys: list[list[str]], changes: dict[str, Column]) -> DataFrame:
+    own = keys[0]
+    fresh = rows.select(*(F.col(c).alias(f"new_{c}") for c in table.columns))
+    if len(keys) > 1:  # the own key of the row that each new row meets
+        for n, k in enumerate(keys):
+            old = table.select(*(F.col(c).alias(f"by{n}_{c}") for c in k), F.struct(*own).alias(f"met{n}_"))
+            fresh = fresh.join(old, [F.col(f"by{n}_{c}") == F.col(f"new_{c}") for c in k], "left").drop(*(f"by{n}_{c}" for c in k))
+        fresh = fresh.withColumn("at_", F.coalesce(*(F.col(f"met{n}_") for n in range(len(keys))), F.struct(*(F.col(f"new_{c}").alias(c) for c in own)))).drop(*(f"met{n}_" for n in range(len(keys))))
+    else:
+        fresh = fresh.withColumn("at_", F.struct(*(F.col(f"new_{c}").alias(c) for c in own)))
+    fresh = check_unique(fresh.withColumn("has_new_", F.lit(True)), ["at_"])
+    met = table.withColumn("has_old_", F.lit(True)).join(fresh, [F.col(c) == F.col(f"at_.{c}") for c in own], "full_outer")
     both, only_new = F.col("has_old_").isNotNull() & F.col("has_new_").isNotNull(), F.col("has_old_").isNull()
     return met.select(*(F.when(only_new, F.col(f"new_{c}")).when(both, changes[c] if c in changes else F.col(c)).otherwise(F.col(c)).alias(c) for c in table.columns))
 
 
 def auto_increment(rows: DataFrame, column: str, order: Sequence[str], last: int = 0) -> DataFrame:
-    """Numbers for rows, from ``last`` + 1 on by ``order``: ranks within ranges of the order, and the ranges' counts."""
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(spark.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("part_", F.spark_partition_id())
-    sums = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("part_").count().withColumn("start_", F.coalesce(F.sum("count").over(sums), F.lit(0))).select("part_", "start_")
-    rank = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return ranged.withColumn("rank_", rank).join(F.broadcast(starts), "part_").withColumn(column, F.col("start_") + F.col("rank_") + last).drop("part_", "rank_", "start_")
+    """Numbers for rows by ``order``, from ``last`` + 1 on. Where rows have the column already, numbers given there
+    stay, and the rows after a larger one go on from it.
+
+    A number is that of the rows without one so far, plus the largest lead of a given one before (its value less the rows
+    without one up to it). Both are counted within ranges of the order, which are checkpointed so that they are dealt once, and
+    carried over from range to range by a table of one row each."""
+    shared_folder(rows.sparkSession)
+    given = F.col(column).cast("long") if column in rows.columns else F.lit(None).cast("long")
+    ranged = rows.withColumn("given_", given).repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *order).withColumn("part_", F.spark_partition_id()).checkpoint()
+    here = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.withColumn("n_", F.sum(F.when(F.col("given_").isNull(), 1).otherwise(0)).over(here))
+    counted = counted.withColumn("lead_", F.max(F.col("given_") - F.col("n_")).over(here))
+    parts = counted.groupBy("part_").agg(F.max("n_").alias("n_"), F.max("lead_").alias("lead_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    parts = parts.withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
+    starts = parts.select("part_", "base_", F.max(F.col("lead_") - F.col("base_")).over(before).alias("ahead_"))
+    met = counted.join(F.broadcast(starts), "part_")
+    lead = F.greatest(F.lit(last), F.col("ahead_"), F.col("lead_") - F.col("base_"))  # nulls are passed over
+    number = F.coalesce("given_", F.col("base_") + F.col("n_") + lead)
+    return met.withColumn(column, number).drop("part_", "given_", "n_", "lead_", "base_", "ahead_")
+
+
+def last_insert_id(before: DataFrame, numbered: DataFrame, column: str, order: Sequence[str], last: int = 0) -> int:
+    """The first number that ``auto_increment`` made for a batch, 0 if all were given."""
+    known = set(before.columns)
+    made = numbered if column not in known else numbered.join(before.filter(F.col(column).isNull()).select(*order), list(order), "left_semi")
+    return made.agg(F.min(column)).first()[0] or 0
+
+
+def next_increment(table: DataFrame, column: str, wanted: int = 1) -> int:
+    """The next number after ALTER TABLE ... AUTO_INCREMENT = wanted: never below one that is taken. 1 for an empty table."""
+    return max(wanted, (table.agg(F.max(column)).first()[0] or 0) + 1)
 
 
 def with_ttl(rows: DataFrame, written: Column, table_ttl: int = 0, session_ttl: int = 0, row_ttl: str | None = None) -> DataFrame:
@@ -102,6 +194,15 @@ def with_ttl(rows: DataFrame, written: Column, table_ttl: int = 0, session_ttl:
     return rows.withColumn("expires_at", F.when(ttl > 0, F.timestamp_seconds(F.unix_timestamp(written) + ttl)))
 
 
+def update_ttl(table: DataFrame, where: Column, changes: dict[str, Column], written: Column, table_ttl: int = 0, session_ttl: int = 0, row_ttl: str | None = None) -> DataFrame:
+    """Update rows of a table with ``expires_at``: those that change live on from ``written``, by their new lifetime."""
+    hit = F.coalesce(where, F.lit(False))
+    marked = table.withColumn("hit_", hit)
+    changed = update(marked.filter("hit_").drop("hit_", "expires_at"), F.lit(True), changes)
+    renewed = with_ttl(changed, written, table_ttl, session_ttl, row_ttl)
+    return marked.filter("not hit_").drop("hit_").unionByName(renewed)
+
+
 def visible(rows: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows that have not expired, without the hidden column."""
     now = F.current_timestamp() if now is None else now

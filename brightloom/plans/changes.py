@@ -60,6 +60,73 @@ def upsert_iodku(t: Tables):
     return dml.upsert(_orders(t), _new(t), ["o_orderkey"], {"o_totalprice": F.round(F.col("o_totalprice") + F.col("new_o_totalprice"), 2)})
 
 
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def update_subq(t: Tables):
+    return dml.update_in(_orders(t), "o_custkey", t.customer.filter("c_acctbal < 0").select("c_custkey"), {"o_orderstatus": F.lit("X")})
+
+
+@query(f"{_O} WHERE NOT coalesce(o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0), false)")
+def delete_not_in(t: Tables):
+    return dml.delete_not_in(_orders(t), "o_custkey", t.customer.filter("c_acctbal > 0").select("c_custkey"))
+
+
+@query(f"{_O}")
+def delete_not_in_null(t: Tables):
+    keys = t.customer.select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("k"))
+    return dml.delete_not_in(_orders(t), "o_custkey", keys)
+
+
+# two unique keys: the order's own, and the customer with the status
+_TWO = "SELECT min(o_orderkey) AS k, o_custkey AS c, o_orderstatus AS s, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 2, 3"
+_TWO_NEW = "SELECT k + 1 AS k, c, CASE WHEN k % 3 = 0 THEN s ELSE 'Z' END AS s, 100 + n AS n, k AS o FROM t WHERE k % 5 = 0"
+
+
+def _two(t: Tables):
+    return t.orders.groupBy(F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s")).agg(F.min("o_orderkey").alias("k"), F.count("*").alias("n")).select("k", "c", "s", "n")
+
+
+def _two_new(two):
+    return two.filter("k % 5 = 0").selectExpr("k + 1 as k", "c", "case when k % 3 = 0 then s else 'Z' end as s", "100 + n as n", "k as o")
+
+
+@query(f"WITH t AS ({_TWO}), new AS ({_TWO_NEW}) SELECT k, c, s, n FROM t WHERE k NOT IN (SELECT k FROM new) AND (c, s) NOT IN (SELECT (c, s) FROM new) "
+       "UNION ALL SELECT k, c, s, n FROM new WHERE o = (SELECT max(x.o) FROM new x WHERE x.k = new.k) AND o = (SELECT max(x.o) FROM new x WHERE x.c = new.c AND x.s = new.s)")
+def replace_two_keys(t: Tables):
+    two = _two(t)
+    return dml.replace(two, _two_new(two), [["k"], ["c", "s"]], "o")
+
+
+@query(f"WITH t AS ({_TWO}), new AS (SELECT CASE WHEN k % 2 = 0 THEN k ELSE k + 100000000 END AS k, c, s, 100 AS n FROM t WHERE k % 5 = 0), fresh AS (SELECT c + 1000000 AS c, k + 200000000 AS k, s, 100 AS n FROM t WHERE k % 7 = 0) "
+       "SELECT t.k, t.c, t.s, CASE WHEN new.k IS NOT NULL THEN t.n + 100 ELSE t.n END AS n FROM t LEFT JOIN new ON t.c = new.c AND t.s = new.s UNION ALL SELECT k, c, s, n FROM fresh")
+def upsert_two_keys(t: Tables):
+    two = _two(t)
+    met = two.filter("k % 5 = 0").selectExpr("case when k % 2 = 0 then k else k + 100000000 end as k", "c", "s", "100L as n")
+    fresh = two.filter("k % 7 = 0").selectExpr("k + 200000000 as k", "c + 1000000 as c", "s", "100L as n")
+    return dml.upsert(two, met.unionByName(fresh), [["k"], ["c", "s"]], {"n": F.col("n") + F.col("new_n")})
+
+
+@query("WITH b AS (SELECT o_custkey AS k, count(*) AS times FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), t AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % 2 = 0) "
+       "SELECT coalesce(t.k, b.k) AS k, CAST(CASE WHEN t.k IS NULL THEN 1 + 10 * (times - 1) WHEN b.k IS NULL THEN n ELSE n + 10 * times END AS BIGINT) AS n FROM t FULL JOIN b ON t.k = b.k")
+def upsert_repeated(t: Tables):
+    batch = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), F.lit(1).cast("long").alias("n"), F.col("o_orderkey").alias("o"))
+    table = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("n"))
+    return dml.upsert(table, batch, ["k"], {"n": F.col("n") + 10}, "o")
+
+
+@query("WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 3 END AS given FROM customer), n AS (SELECT *, sum(CASE WHEN given IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY c_custkey) AS k FROM a) "
+       "SELECT c_custkey, CAST(coalesce(given, k + greatest(1000, coalesce(max(given - k) OVER (ORDER BY c_custkey), 0))) AS BIGINT) AS id FROM n")
+def auto_increment_jump(t: Tables):
+    rows = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, F.col("c_custkey") * 3).alias("id"))
+    return dml.auto_increment(rows, "id", ["c_custkey"], 1000)
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' OR epoch(ts)::BIGINT + 1296000 > epoch(TIMESTAMP '2024-01-20')::BIGINT")
+def ttl_after_update(t: Tables):
+    kept = dml.with_ttl(t.events, F.date_trunc("second", "ts"), table_ttl=1296000)
+    renewed = dml.update_ttl(kept, F.col("event_type") == "click", {"value": F.lit(0.0)}, F.lit("2024-01-19").cast("timestamp"), table_ttl=1296000)
+    return dml.visible(renewed, F.lit("2024-01-20").cast("timestamp")).select("event_id")
+
+
 @query("SELECT c_name, 1000 + row_number() OVER (ORDER BY c_custkey) AS id FROM customer WHERE c_acctbal > 5000")
 def auto_increment(t: Tables):
     return dml.auto_increment(t.customer.filter("c_acctbal > 5000").select("c_name", "c_custkey"), "id", ["c_custkey"], 1000).select("c_name", F.col("id").cast("long").alias("id"))
