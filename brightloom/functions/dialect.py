@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,9 +29,12 @@ def flag(condition: Column) -> Column:
     return condition.cast("int")
 
 
-def group_concat(value: Column, separator: str = ",") -> Column:
-    """The group's values, sorted and joined; nulls are left out."""
-    return F.array_join(F.array_sort(F.collect_list(value)), separator)
+def group_concat(value: Column, separator: str = ",", order: Column | None = None, descending: bool = False, distinct: bool = False) -> Column:
+    """The group's values joined; nulls are left out. They are sorted by themselves, or by ``order`` and then by
+    themselves; ``descending`` turns the order, ``distinct`` keeps one of equals (of equal values and orders)."""
+    pairs = F.when(value.isNotNull(), F.struct((order if order is not None else value).alias("o"), value.cast("string").alias("v")))
+    gathered = F.sort_array(F.collect_set(pairs) if distinct else F.collect_list(pairs), asc=not descending)
+    return F.array_join(F.transform(gathered, lambda x: x["v"]), separator)
 
 
 def unsigned_big(value: Column) -> Column:
@@ -54,25 +59,106 @@ def json_type(doc: Column) -> Column:
         .when(F.trim(doc) == "null", "NULL").when(F.trim(doc).rlike("^-?[0-9]+$"), "INTEGER").when(doc.isNotNull(), "DOUBLE"))
 
 
-def json_contains(doc: Column, value: str, path: str) -> Column:
-    """Whether the array at ``path`` holds the scalar ``value`` (as JSON text)."""
-    return F.coalesce(F.array_contains(F.from_json(F.get_json_object(doc, path), "array<string>"), value.strip('"')), F.lit(False))
+_STEP = re.compile(r'\.([A-Za-z_][A-Za-z0-9_]*)|\."((?:[^"\\]|\\.)*)"|\[([0-9]+)\]')
 
 
-def json_set(doc: Column, key: str, value: Column) -> Column:
-    """The document with a top-level key set; text that is no JSON object stays as it is."""
+def _path(path: str) -> list[str | int]:
+    """The steps of a path like $.a[0]."b c"; ValueError for anything else."""
+    at, out = 1, []
+    while at < len(path):
+        m = _STEP.match(path, at)
+        if not m:
+            raise ValueError(f"invalid path {path}")
+        out.append(int(m.group(3)) if m.group(3) else m.group(1) or m.group(2))
+        at = m.end()
+    if not path.startswith("$"):
+        raise ValueError(f"invalid path {path}")
+    return out
+
+
+def _by_document(change) -> Callable[..., Column]:
+    """A function of parsed documents as a pandas UDF: JSON text in, JSON text out. Spark has no typed JSON that could do it."""
     @F.pandas_udf("string")
-    def put(docs: pd.Series, values: pd.Series) -> pd.Series:
+    def run(docs: pd.Series, values: pd.Series) -> pd.Series:
         def one(d, v):
             try:
-                loaded = json.loads(d) if d is not None else None
+                return change(json.loads(d), v) if d is not None else None
             except ValueError:
-                return d
-            return json.dumps(loaded | {key: None if pd.isna(v) else v}, ensure_ascii=False) if isinstance(loaded, dict) else d
-
+                return None
         return pd.Series([one(d, v) for d, v in zip(docs, values, strict=True)], dtype=object)
 
-    return put(doc, value)
+    return run
+
+
+def _find(doc, steps: list[str | int]):
+    """The value at a path, in a list; empty where there is none. A scalar is its own first element."""
+    for s in steps:
+        if isinstance(s, int):
+            if isinstance(doc, list):
+                if s >= len(doc):
+                    return []
+                doc = doc[s]
+            elif s:
+                return []
+        elif isinstance(doc, dict) and s in doc:
+            doc = doc[s]
+        else:
+            return []
+    return [doc]
+
+
+def json_extract(doc: Column, *paths: str) -> Column:
+    """The JSON at a path (text keeps its quotes), or the array of those found at several; null where there is none."""
+    steps = [_path(p) for p in paths]
+
+    def one(d, _):
+        found = [x for s in steps for x in _find(d, s)]
+        return (json.dumps(found[0] if len(paths) == 1 else found, ensure_ascii=False)) if found else None
+
+    return _by_document(one)(doc, F.lit(""))
+
+
+def _holds(target, wanted) -> bool:
+    """JSON containment: scalars equal in type and value, an array holds all of another's elements or one value, an
+    object holds another's keys with values that hold theirs."""
+    if isinstance(target, list):
+        return all(any(_holds(x, w) for x in target) for w in wanted) if isinstance(wanted, list) else any(_holds(x, wanted) for x in target)
+    if isinstance(target, dict):
+        return isinstance(wanted, dict) and all(k in target and _holds(target[k], w) for k, w in wanted.items())
+    same = isinstance(target, bool) == isinstance(wanted, bool) and isinstance(target, str) == isinstance(wanted, str) and not isinstance(wanted, (list, dict))
+    return same and target == wanted
+
+
+def json_contains(doc: Column, value: str, path: str = "$") -> Column:
+    """Whether the document at ``path`` holds ``value`` (JSON text), typed: ["2"] does not hold 2. Null for no document,
+    no such path, or text that is no JSON."""
+    steps, wanted = _path(path), json.loads(value)
+
+    def one(d, _):
+        found = _find(d, steps)
+        return str(_holds(found[0], wanted)).lower() if found else None
+
+    return _by_document(one)(doc, F.lit("")).cast("boolean")
+
+
+def json_set(doc: Column, path: str, value: Column) -> Column:
+    """The document with the value at ``path`` replaced, or added where its parent is there (after an array's end: appended);
+    else as it is. ``value`` is an SQL value: text becomes a JSON string, numbers and booleans stay such. Null for no JSON."""
+    steps = _path(path)
+
+    def one(d, v):
+        new = json.loads(v).get("v")  # a null is left out
+        if not steps:
+            return json.dumps(new, ensure_ascii=False)
+        for parent in _find(d, steps[:-1]):
+            last = steps[-1]
+            if isinstance(last, int) and isinstance(parent, list):
+                parent[last : last + 1] = [new]
+            elif isinstance(last, str) and isinstance(parent, dict):
+                parent[last] = new
+        return json.dumps(d, ensure_ascii=False)
+
+    return _by_document(one)(doc, F.to_json(F.struct(value.alias("v"))))
 
 
 def fixed_binary(value: Column, n: int) -> Column:

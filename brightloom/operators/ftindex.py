@@ -26,6 +26,10 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def _moved(places: str, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
 class FullTextIndex:
     """An index of the text columns of a table below ``path``. Documents have a unique key that is not null."""
 
@@ -161,7 +165,7 @@ class FullTextIndex:
         for k, t in enumerate(unwanted):
             found = found.filter(~F.col(f"not{k}")) if not t.phrase else found
         for t in phrases:
-            shifted = [F.transform(places[w], lambda x, _k=k: x - _k) for k, w in enumerate(t.phrase)]
+            shifted = [_moved(places[w], k) for k, w in enumerate(t.phrase)]
             adjacent = F.coalesce(F.size(reduce(F.array_intersect, shifted)) > 0, F.lit(False))
             found = found.filter(~adjacent if t.excluded else adjacent)
         return found.select("doc_key", "score").orderBy(F.desc("score"), "doc_key")

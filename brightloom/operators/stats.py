@@ -16,9 +16,17 @@ def rec_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return told.withColumn("rec_per_key", F.greatest(F.floor(F.col("n_rows") / F.col("n_distinct")), F.lit(1)).cast("long"))
 
 
-def interpolated(rows: float, k: int, n: int, last: float | None) -> float:
-    """rec_per_key of a prefix of k of n columns without counting: ``last`` is that of the whole key, None if unique."""
-    return rows ** ((n - k) / n) if last is None else rows / (rows / last) ** (k / n)
+def interpolated(rows: int, k: int, n: int, unique: bool, last: int | None = None) -> int:
+    """rec_per_key of a prefix of k of n columns without counting, 1 at least.
+
+    Of a unique key the distinct values are taken to grow evenly with its columns, from 1 to ``rows``; of another from 1
+    to rows / last, where ``last`` is the counted value of the whole key, or a tenth of the rows and one more."""
+    if rows < 1:
+        return 1
+    if unique:
+        return 1 if k == n else max(int(rows ** ((n - k) / n)), 1)
+    last = last or rows // 10 + 1
+    return max(last, 1) if k == n else max(min(int(rows / (rows / last) ** (k / n)), rows), 1)
 
 
 def range_count(df: DataFrame, where: Column) -> DataFrame:

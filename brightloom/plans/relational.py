@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import dialect
-from brightloom.operators import subquery
+from brightloom.operators import multirange, subquery
 from brightloom.plans.registry import Tables, query
 
 # --- scans
@@ -57,6 +57,18 @@ def mrr_in_list(t: Tables):
     return t.part.filter(F.col("p_partkey").isin(3, 5, 8, 13, 21, 34, 55, 89, 144, 999999)).select("p_partkey", "p_name")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size % 7 = 0)")
+def mrr_keys(t: Tables):
+    keys = t.part.filter("p_size % 7 = 0").select("p_partkey")
+    return multirange.in_keys(t.lineitem, {"l_partkey": "p_partkey"}, keys).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 0 AND o_totalprice BETWEEN c_acctbal * 30 AND c_acctbal * 30 + 500)")
+def mrr_ranges(t: Tables):
+    ranges = t.customer.filter("c_acctbal > 0").select((F.col("c_acctbal") * 30).alias("lo"), (F.col("c_acctbal") * 30 + 500).alias("hi"))
+    return multirange.in_ranges(t.orders, "o_totalprice", ranges).select("o_orderkey", "o_totalprice")
+
+
 @query("SELECT p_brand, p_size FROM part WHERE p_size > 40")
 def covering_projection(t: Tables):
     return t.part.filter("p_size > 40").select("p_brand", "p_size")
@@ -66,7 +78,7 @@ def covering_projection(t: Tables):
 def table_status(t: Tables):
     from brightloom.sources import tables
 
-    return tables.table_stats(t.orders, "orders").drop("avg_row_length")
+    return tables.table_stats(t.orders, "orders", f"{t.directory}/orders.parquet").select("table_name", "row_count", "column_count")
 
 
 # --- filters
@@ -363,6 +375,19 @@ def json_length(t: Tables):
     return t.events.select("event_id", dialect.json_length(F.col("props")).alias("n"), dialect.json_type(F.col("props")).alias("kind"))
 
 
+@query("SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k, (json_extract(props, '$.k')::VARCHAR = '7') AS has, json_object('k', event_id, 'n', json_extract(props, '$.k'))::VARCHAR AS changed FROM events")
+def json_change(t: Tables):
+    doc = F.col("props")
+    changed = dialect.json_set(dialect.json_set(doc, "$.n", F.get_json_object(doc, "$.k").cast("long")), "$.k", F.col("event_id"))
+    return t.events.select("event_id", dialect.json_extract(doc, "$.k").alias("k"), dialect.json_contains(doc, "7", "$.k").alias("has"), F.regexp_replace(changed, " ", "").alias("changed"))
+
+
+@query("SELECT c_nationkey, string_agg(c_mktsegment, ';' ORDER BY c_acctbal DESC, c_mktsegment DESC) AS by_balance, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY 1")
+def group_concat_ordered(t: Tables):
+    return t.customer.groupBy("c_nationkey").agg(
+        dialect.group_concat(F.col("c_mktsegment"), ";", F.col("c_acctbal"), descending=True).alias("by_balance"), dialect.group_concat(F.col("c_mktsegment"), distinct=True).alias("segments"))
+
+
 @query("SELECT page_id, split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3) AS site FROM pages")
 def substring_index(t: Tables):
     return t.pages.select("page_id", F.substring_index("url", "/", 3).alias("site"))

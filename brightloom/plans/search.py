@@ -169,6 +169,22 @@ def mbr_disjoint(t: Tables):
     return _boxes(t).filter(spatial.disjoint(F.col("b"), _query_box())).select("p_partkey")
 
 
+_TRACK = "(SELECT s_suppkey, s_nationkey * 4.0 AS x, s_acctbal / 100 AS y FROM supplier)"
+
+
+@query(f"SELECT s_suppkey FROM {_TRACK} WHERE x <= 60 AND x + 3 >= 20 AND y <= 50 AND y + 2 >= 10")
+def mbr_from_geometry(t: Tables):
+    x, y = F.col("s_nationkey") * 4.0, F.col("s_acctbal") / 100
+    line = F.format_string("LINESTRING(%s %s, %s %s)", *(v.cast("string") for v in (x, y, x + 3, y + 2)))
+    return t.supplier.filter(spatial.intersects(spatial.mbr_from_wkt(line), spatial.box(F.lit(20), F.lit(10), F.lit(60), F.lit(50)))).select("s_suppkey")
+
+
+@query(f"SELECT s_suppkey FROM {_TRACK} WHERE x BETWEEN 20 AND 60 AND y BETWEEN 10 AND 50")
+def mbr_from_binary(t: Tables):
+    point = spatial.wkb_point(F.col("s_nationkey") * 4.0, F.col("s_acctbal") / 100)
+    return t.supplier.filter(spatial.within(spatial.mbr_from_wkb(point), spatial.box(F.lit(20), F.lit(10), F.lit(60), F.lit(50)))).select("s_suppkey")
+
+
 # --- vectors
 
 _V = [round((-1) ** k * 0.05 * (k % 7 + 1), 3) for k in range(64)]

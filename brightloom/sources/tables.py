@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 MOST_OPTION_BYTES = 64 * 1024
 #: Options of a table: name -> default. Other keys are passed over.
-OPTIONS = {"compression": "SNAPPY", "bloom_filter": False, "bloom_fpr": 0.01, "ttl": 0}
+OPTIONS = {"compression": "SNAPPY", "bloom_filter": False, "bloom_fpr": 0.01, "ttl": 0, "footer_key": "", "column_keys": ""}
 CODECS = {"NONE": "none", "SNAPPY": "snappy", "LZ4": "lz4_raw", "LZ4_FAST": "lz4_raw", "ZSTD": "zstd"}
 
 
@@ -36,6 +36,9 @@ def write(df: DataFrame, path: str, key: list[str] | None = None, mode: str = "e
     if told["bloom_filter"] and key:
         for k in key:
             writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.fpp#{k}", str(told["bloom_fpr"]))
+    for k in ("footer_key", "column_keys"):  # names of keys; the session's Hadoop settings name the crypto factory and the key service
+        if told[k]:
+            writer = writer.option(f"parquet.encryption.{k.replace('_', '.')}", told[k])
     writer.parquet(path)
 
 
@@ -49,7 +52,61 @@ def convert(spark: SparkSession, source: str, source_format: str, target: str, t
     spark.read.format(source_format).load(source).write.mode("errorifexists").format(target_format).save(target)
 
 
-def table_stats(df: DataFrame, name: str) -> DataFrame:
-    """One row: table_name, row_count, column_count, avg_row_length (characters of the row as JSON)."""
-    return df.agg(F.count("*").alias("row_count"), F.avg(F.length(F.to_json(F.struct("*")))).alias("avg_row_length")).select(
-        F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count"), "avg_row_length")
+def create_as(df: DataFrame, path: str, key: list[str] | None = None, attribute: str | None = None) -> DataFrame:
+    """CREATE TABLE ... AS SELECT: write a query's rows as a new table, which must not exist, and read it."""
+    write(df, path, key, attribute=attribute)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rename_table(spark: SparkSession, path: str, target: str) -> None:
+    """Give a table another path, in one step of the store; FileExistsError if that is taken."""
+    a, b = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, target))
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(b):
+        raise FileExistsError(target)
+    if not fs.exists(a) or not fs.rename(a, b):
+        raise FileNotFoundError(path)
+
+
+def drop_table(spark: SparkSession, path: str, if_exists: bool = False) -> None:
+    """Delete a table's files; FileNotFoundError if there is none, unless ``if_exists``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.delete(where, True) and not if_exists:
+        raise FileNotFoundError(path)
+
+
+def _bytes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and files of a table, by the store's listing."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    told = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
+    return told.getLength(), told.getFileCount()
+
+
+def table_stats(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """One row: table_name, row_count, column_count, data_length (bytes of the files below ``path``, null without) and
+    avg_row_length (bytes of files for a row). Only the rows are counted; none is read."""
+    size = F.lit(_bytes(df.sparkSession, path)[0] if path else None).cast("long")
+    return df.agg(F.count("*").alias("row_count")).select(
+        F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count"), size.alias("data_length"), F.floor(size / F.greatest("row_count", F.lit(1))).alias("avg_row_length"))
+
+
+def status(spark: SparkSession, directory: str) -> DataFrame:
+    """table_name, column_count, data_length, files of all Parquet tables of a directory, from listings and footers only."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    names = sorted(s.getPath().getName() for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where))
+    rows = []
+    for n in names:
+        if n.endswith(".parquet"):
+            rows.append((n.removesuffix(".parquet"), len(spark.read.parquet(f"{directory}/{n}").columns), *_bytes(spark, f"{directory}/{n}")))
+    return spark.createDataFrame(rows, "table_name string, column_count int, data_length long, files long")
+
+
+def check(df: DataFrame, key: list[str]) -> DataFrame:
+    """CHECK TABLE: one row of row_count, null_keys, repeated_keys and ok, after reading every column of every row."""
+    hashed = df.select(*key, F.xxhash64(*df.columns).alias("read_"))
+    known = " and ".join(f"{k} is not null" for k in key)
+    counts = hashed.groupBy(*key).agg(F.count("*").alias("n"), F.max("read_").alias("read_"))
+    told = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.when(F.expr(f"not ({known})"), F.col("n"))), F.lit(0)).alias("null_keys"),
+                      F.count(F.when(F.expr(f"n > 1 and {known}"), 1)).alias("repeated_keys"), F.max("read_").alias("read_"))
+    return told.select("row_count", "null_keys", "repeated_keys", ((F.col("null_keys") == 0) & (F.col("repeated_keys") == 0)).alias("ok"))
