@@ -73,19 +73,21 @@ class FullTextIndex:
         at = f"{self.path}/{name}"
         counted, change = [], {"docs": 0, "words": 0}
         if new is not None:
-            words = self._words(new)
-            places = words.select("doc_key", "doc_len", F.posexplode("words").alias("at", "term"))
+            places = self._words(new).select("doc_key", "doc_len", F.posexplode("words").alias("at", "term"))
             postings = places.groupBy("term", "doc_key", "doc_len").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
             # equal terms are dealt by their documents too: a hot one is many files
             postings.repartitionByRange("term", "doc_key").sortWithinPartitions("term", "doc_key").write.parquet(f"{at}/postings")
             written = self.spark.read.parquet(f"{at}/postings")
             counted.append(written.groupBy("term").agg(F.count("*").alias("df")))
-            self._add(change, words, 1)
+            change["docs"] += new.count()
+            change["words"] += written.agg(F.sum("tf")).first()[0] or 0
         if old is not None:
             words = self._words(old)
             words.select("doc_key").write.parquet(f"{at}/deletes")
             counted.append(words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df")))
-            self._add(change, words, -1)
+            r = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("w")).first()
+            change["docs"] -= r["n"]
+            change["words"] -= r["w"]
         reduce(DataFrame.unionByName, counted).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
         told = {"folder": name, "postings": new is not None, "deletes": old is not None, **change}
         if not base:
@@ -93,11 +95,6 @@ class FullTextIndex:
         self._versions.commit(base + 1, json.dumps(told))
         return base + 1
 
-    def _add(self, change: dict, words: DataFrame, sign: int) -> None:
-        r = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("w")).first()
-        change["docs"] += sign * r["n"]
-        change["words"] += sign * r["w"]
-
     def _segment(self, k: int) -> dict:
         if k not in self._known:
             self._known[k] = json.loads(self._versions.content(k))
