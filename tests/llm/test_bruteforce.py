@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightloom.llm import embeddings, hmm, mixing, secret_scan, toxicity, winnow, workspace
+from brightloom.llm import embeddings, hmm, license_scan, mixing, secret_scan, toxicity, winnow, workspace
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -349,3 +349,25 @@ def test_pipeline_runs_and_leaves_nothing_behind(spark, tmp_path):
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect())) and out.count() > 0
     left = [p.name.split("-")[0] for p in set(tables.iterdir()) - before]
     assert left == ["pipeline"]  # the result's own table
+
+
+def test_whole_licences_tags_and_headings(spark):
+    L = license_scan
+    bsd = [L._BSD_GRANT, L._BSD_SOURCE, L._BSD_BINARY, L._BSD_NAMES, L._BSD_WARRANTY]
+    wrapped = lambda parts, mark="": "\n".join(mark + " ".join(p.split()[k : k + 9]) for p in parts for k in range(0, len(p.split()), 9))
+    rows = [
+        (1, "foo. Released under the MIT License. bar baz qux quux", "MIT"), (2, "/* SPDX-License-Identifier: Apache-2.0 */\nint main() {}", "Apache-2.0"), (3, "// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        (4, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation", "GPL-3.0"),
+        (5, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(wrapped([p]) for p in (L._MIT_GRANT, L._MIT_NOTICE, L._MIT_WARRANTY)), "MIT"),
+        (6, "Copyright 2021 The Authors.\n\n" + "\n\n".join(wrapped([p]) for p in bsd), "BSD,BSD-3-Clause"), (7, " * Copyright 2021\n" + wrapped(bsd[:3] + bsd[4:], " * ") + "\n */ code", "BSD-2-Clause"),
+        (8, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"), (9, "x\n" + wrapped([L._ZLIB]), "Zlib"), (10, wrapped([L._ISC_GRANT]) + "\n\n" + wrapped([L._ISC_WARRANTY]), "ISC"),
+        (11, "SPDX-License-Identifier: Made-Up-1.0", ""), (14, "# SPDX-License-Identifier: MIT", "MIT"), (15, "License-Identifier of it", ""), (12, "the software is provided to the public without conditions of any kind", ""), (13, "word " * 50_000 + "Licensed under CC BY 4.0. " + "word " * 50_000, "CC-BY-4.0"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.told(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {k: v for k, _, v in rows} == got
+    # a template that is the best for a unit has the coefficient of the definition
+    for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect():
+        for x in r["licenses"]:
+            own = license_scan.bigrams(license_scan.normal(x["unit"]))
+            best = max(2 * len(own & t) / (len(own) + len(t)) for n, t in ((n, license_scan.bigrams(license_scan.normal(t))) for n, t in license_scan.TEMPLATES) if n == x["license"])
+            assert x["dice"] == pytest.approx(best)
