@@ -66,12 +66,33 @@ def test_minhash_equals_all_pairs(docs):
         else:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
     assert sorted(map(tuple, minhash.near_duplicates(docs, filter_bits=8).collect()), key=str) == sorted(map(tuple, got), key=str)  # the join in place of the filter
+    assert sorted(map(tuple, minhash.near_duplicates(docs, hot=1).collect()), key=str) == sorted(map(tuple, got), key=str)  # every bucket dealt once more
     assert minhash.near_duplicates(docs.limit(0)).collect() == [] == minhash.drop_near_duplicates(docs.limit(0)).collect()
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({a for a in sets if want[a] == a})
 
 
+def test_a_common_passage_and_near_copies(spark):
+    """A passage in all texts fills buckets; near copies, of which the least is no hub, are found in fine buckets too."""
+    rng = random.Random(8)
+    passage = " ".join(rng.choices(WORDS, k=30))
+    rows = []
+    for k in range(120):
+        own = [f"w{rng.randrange(5000)}" for _ in range(28)]
+        rows.append((k, passage + " " + " ".join(own)))
+        if k % 4 == 0:
+            own[27] = "changed"
+            rows.append((1000 + k, passage + " " + " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    links = [(x, y) for x, y in itertools.combinations(range(len(ids)), 2) if 100 * len(sets[ids[x]] & sets[ids[y]]) >= 75 * len(sets[ids[x]] | sets[ids[y]])]
+    want = dict(zip(ids, (ids[c] for c in components(len(ids), links)), strict=True))
+    for hot in (minhash.HOT, 4, 1):
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, hot=hot).collect()} == want and len(links) == 30
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)
