@@ -1,8 +1,8 @@
 """Personal data by anchor expansion (operator 2).
 
-One Aho-Corasick pass over each whole text finds at-signs, plus signs, schemes and identifier cues; digits, which are
-an anchor of their own, are found by their runs. Deterministic local parsers expand each anchor to the left and right,
-validate it, and give its exact boundaries; each reads a stretch of text a bounded number of times.
+One Aho-Corasick pass over each whole text finds at-signs, plus signs, schemes, identifier cues, and digits that have a
+digit beside them, or beyond a blank, hyphen or dot. Deterministic local parsers expand each anchor to the left and
+right, validate it, and give its exact boundaries; anchors inside a stretch that a parser has read are passed over.
 
 Base kinds (leftmost, not overlapping within a kind; a match that fails its check is passed over whole):
   email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
@@ -34,6 +34,7 @@ CUES = (
 )
 SPELT = (" at ", "[at]", "(at)")
 
+_DECIMAL = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -57,6 +58,11 @@ def automaton() -> ahocorasick.Automaton:
             found.add_word(t, ("cue", len(t)))
     for s in SPELT:
         found.add_word(s, ("spelt", len(s)))
+    for a in "0123456789":
+        for b in "0123456789":
+            found.add_word(f"{a}.{b}", ("dot", 3))
+            for between in ("", " ", "-"):
+                found.add_word(a + between + b, ("digits", 2 + len(between)))
     found.make_automaton()
     return found
 
@@ -76,24 +82,20 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
-def _ips(text: str) -> Iterator[tuple[int, int]]:
+def _ips(run: str, at: int) -> Iterator[tuple[int, int]]:
     """A run of numbers and dots is taken four numbers at a time, as a search from the left does."""
-    for m in _DOTTED.finditer(text):
-        parts, at = m.group().split("."), m.start()
-        for k in range(0, len(parts) - 3, 4):
-            four = parts[k : k + 4]
-            end = at + sum(map(len, four)) + 3
-            if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in four):
-                yield at, end
-            at = end + 1
+    parts = run.split(".")
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in four):
+            yield at, end
+        at = end + 1
 
 
-def _cards(text: str) -> Iterator[tuple[int, int]]:
-    for m in _DIGITS.finditer(text):
-        if m.end() - m.start() >= 14:
-            digits = m.group().replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                yield m.span()
+def _card(run: str) -> bool:
+    digits = run.replace(" ", "").replace("-", "") if len(run) >= 14 else ""
+    return 14 <= len(digits) <= 19 and luhn(digits)
 
 
 def _account(text: str, at: int) -> tuple[int, int] | None:
@@ -109,10 +111,23 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data, by start and then by kind; code points, end exclusive."""
     found: list[tuple[str, int, int]] = []
-    done = {"email": 0, "phone": 0, "url": 0, "mailbox": 0, "account": 0}
+    done = {"email": 0, "phone": 0, "url": 0, "mailbox": 0, "account": 0, "dot": 0, "digits": 0}
     for last, (kind, length) in anchors.iter(text):
         start, end = last - length + 1, last + 1
-        if kind == "@":
+        if kind == "digits":  # the first of a run stands at its start
+            if start >= done["digits"]:
+                m = _DIGITS.match(text, start)
+                done["digits"] = m.end()
+                if _card(m.group()):
+                    found.append(("card", *m.span()))
+        elif kind == "dot":
+            if start >= done["dot"]:
+                while start > done["dot"] and text[start - 1] in _DECIMAL:
+                    start -= 1
+                m = _DOTTED.match(text, start)
+                done["dot"] = m.end()
+                found += [("ip", a, b) for a, b in _ips(m.group(), start)]
+        elif kind == "@":
             m = _DOMAIN.match(text, end)
             if m:
                 left = start
@@ -136,6 +151,8 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
                     done["url"] = stop
         elif kind == "spelt":
             m = _SPELT_HOST.match(text, end)
+            if text[start] != " " and start and text[start - 1] == " ":
+                start -= 1
             left = start
             while left > done["mailbox"] and text[left - 1] in _LOCAL:
                 left -= 1
@@ -147,15 +164,14 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
             if span and span[0] >= done["account"]:
                 found.append(("account", *span))
                 done["account"] = span[1]
-    found += [("ip", a, b) for a, b in _ips(text)]
-    found += [("card", a, b) for a, b in _cards(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of kind, start, end) of every row of ``docs`` (doc_id, text; others ignored).
 
-    A null or empty text has no spans. Repeated rows stay repeated, doc_id may be null."""
+    A null or empty text has no spans, a very long one is read whole. Repeated rows stay repeated, doc_id may be null, an empty
+    table gives an empty result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -169,7 +185,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of each base kind, the digest of the base spans, and all spans as text."""
+    """doc_id, the number of each base kind, the digest of the base spans, and all spans as text; nulls, repeats, long
+    texts and empty tables as in ``find_personal_data``."""
     def told(spans):
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 

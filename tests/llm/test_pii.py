@@ -44,6 +44,24 @@ def test_known_forms():
     assert ("url", "https://u:p@h.example/x") in kinds
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0123456789.- +", max_size=80))
+def test_base_spans_of_digits(text):
+    assert base(text) == brute(text)
+
+
+def test_added_kinds():
+    yes = {
+        "write to joe at example dot com now": ("mailbox", "joe at example dot com"), "joe.x [at] example [dot] org": ("mailbox", "joe.x [at] example [dot] org"), "ann(at)mail(dot)net": ("mailbox", "ann(at)mail(dot)net"),
+        "SSN: 078-05-1120.": ("account", "078-05-1120"), "account number: 00123456789": ("account", "00123456789"), "Passport No. X12345678 of": ("account", "X12345678"), "IBAN GB82WEST12345698765432,": ("account", "GB82WEST12345698765432"),
+        "see HTTPS://example.org/a?b=c.": ("url", "HTTPS://example.org/a?b=c"), "(ftp://host/x)": ("url", "ftp://host/x"), "mailto:a@b.example": ("url", "mailto:a@b.example"),
+    }
+    for text, (kind, value) in yes.items():
+        assert [text[a:b] for k, a, b in pii.spans(text, pii.automaton()) if k == kind] == [value], text
+    for text in ("meet at the dot com fair", "he was at home dot", "IBAN GB82WEST12345698765433", "account of the year", "policy: none", "http:// nothing", "the passport was lost", "compte rendu"):
+        assert not [s for s in pii.spans(text, pii.automaton()) if s[0] not in pii.BASE], text
+
+
 def test_table(spark):
     rows = [(1, "a@b.c and a@b.c", "x"), (2, None, "x"), (3, "", "x"), (None, "+12345678901", "x"), (3, "", "x"), (4, "1.1.1.1 " * 50_000, "x")]
     out = {r["doc_id"]: r for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
