@@ -34,6 +34,7 @@ CUES = (
 )
 SPELT = (" at ", "[at]", "(at)")
 
+_NO_HOST = frozenset(("the", "a", "an", "this", "that", "our", "your", "my"))
 _DECIMAL = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,7 +43,7 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>()\[\]{}]+")
 _SPELT_HOST = re.compile(r"\s*([A-Za-z0-9-]+)\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?([A-Za-z]{2,12})\b")
-_IDENTIFIER = re.compile(r"(?:\s?(?:number|no|nr|code|id))?[\x20.:#=]{1,3}([A-Z0-9][A-Z0-9-]{4,33})(?![A-Za-z0-9])", re.ASCII)
+_IDENTIFIER = re.compile(r"(?:\s?(?i:number|no|nr|code|id))?[\x20.:#=]{1,3}([A-Z0-9][A-Z0-9-]{4,33})(?![A-Za-z0-9])", re.ASCII)
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 
 
@@ -156,7 +157,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
             left = start
             while left > done["mailbox"] and text[left - 1] in _LOCAL:
                 left -= 1
-            if m and left < start:
+            if m and left < start and m.group(1).lower() not in _NO_HOST:
                 found.append(("mailbox", left, m.end()))
                 done["mailbox"] = m.end()
         else:
