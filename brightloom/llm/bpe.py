@@ -222,7 +222,7 @@ class WordBpe:
         for k, text in enumerate(texts):
             group.append(self.split(text))
             held += len(group[-1])
-            if held > 500_000 or k == len(texts) - 1:
+            if held > 150_000 or k == len(texts) - 1:
                 self.learn(chain.from_iterable(group))
                 get = self.ids.__getitem__
                 out += [b"".join(map(get, words)) for words in group]
@@ -254,8 +254,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
         bpe.forget()
