@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
 
 
-def components(work: Workspace, edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def components(work: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for every node in the edges (u, v: long); component is the least node reachable.
 
     Edges with a null end are ignored, loops and repeats are allowed. The number of rounds grows with the logarithm
-    of the longest path; each round writes its edges to the shared folder."""
+    of the longest path and is not limited: every round but the last brings an edge nearer to its root. Each round writes its edges to the shared folder."""
     seen = None
     now = work.save(
         edges.filter("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}0")
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         wide = work.save(_star(now, True), f"{name}{k}w")
         new = work.save(_star(wide, False), f"{name}{k}")
         work.drop(f"{name}{k - 1}", f"{name}{k}w")
@@ -47,7 +49,5 @@ def components(work: Workspace, edges: DataFrame, name: str = "cc", max_rounds:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.groupBy("v").agg(F.lit(1).alias("one")).select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightloom.llm import embeddings, hmm, license_scan, mixing, secret_scan, toxicity, winnow, workspace
+from brightloom.llm import embeddings, graph, hmm, license_scan, mixing, secret_scan, toxicity, winnow, workspace
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -371,3 +371,13 @@ def test_whole_licences_tags_and_headings(spark):
             own = license_scan.bigrams(license_scan.normal(x["unit"]))
             best = max(2 * len(own & t) / (len(own) + len(t)) for n, t in ((n, license_scan.bigrams(license_scan.normal(t))) for n, t in license_scan.TEMPLATES) if n == x["license"])
             assert x["dice"] == pytest.approx(best)
+
+
+def test_components_of_long_paths(spark):
+    """A path of 300 nodes, a star, loops, repeats and null ends."""
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1060)] + [(5, 5), (7, 6), (6, 7), (None, 3), (4, None)]
+    work = workspace.Workspace(spark, "test")
+    got = {r["node"]: r["component"] for r in graph.components(work, spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1060)}
+    assert graph.components(work, spark.createDataFrame([], "u long, v long"), "empty").collect() == []
+    work.close()
