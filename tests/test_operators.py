@@ -94,6 +94,15 @@ def test_ttl(spark):
     assert dml.visible(dml.with_ttl(t, F.col("w"), table_ttl=30, session_ttl=90), at).count() == 3
 
 
+def test_ttl_without_time_of_writing(spark):
+    t = spark.createDataFrame([(1, 5), (2, 0)], "id int, own int").withColumn("w", F.lit(None).cast("timestamp"))
+    at = F.lit("2024-01-01 00:01:00").cast("timestamp")
+    assert [r["id"] for r in dml.visible(dml.with_ttl(t, F.col("w"), row_ttl="own"), at).collect()] == [2]
+    assert dml.visible(dml.with_ttl(t, F.col("w"), table_ttl=30), at).count() == 0
+    renewed = dml.update_ttl(dml.with_ttl(t, F.col("w"), table_ttl=30), F.col("id") == 1, {"own": F.lit(6)}, at, table_ttl=30)
+    assert [tuple(r)[:2] for r in dml.visible(renewed, at).collect()] == [(1, 6)]
+
+
 def test_spatial(spark):
     rows = [(1, "POINT(1 2)"), (2, "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))"), (3, "LINESTRING(20 20, 30 30)"), (4, "nonsense"), (5, None), (6, "POINT(nan 1)"), (7, "GEOMETRYCOLLECTION EMPTY")]
     df = spark.createDataFrame(rows, "id int, g string").select("id", spatial.mbr_from_wkt(F.col("g")).alias("b"))
