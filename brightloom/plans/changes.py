@@ -140,7 +140,7 @@ def auto_increment(t: Tables):
 @query("SELECT event_id FROM events WHERE event_type = 'purchase' OR epoch(ts)::BIGINT + CASE WHEN event_type = 'click' THEN 864000 ELSE 1296000 END > epoch(TIMESTAMP '2024-01-20')::BIGINT")
 def ttl_visible(t: Tables):
     own = t.events.withColumn("ttl", F.when(F.col("event_type") == "click", 864000).otherwise(0))
-    kept = dml.with_ttl(own.filter("event_type <> 'purchase'"), F.date_trunc("second", "ts"), table_ttl=1296000, row_ttl="ttl")
+    kept = dml.with_ttl(own.filter("not event_type <=> 'purchase'"), _second("ts"), table_ttl=1296000, row_ttl="ttl")
     forever = dml.with_ttl(own.filter("event_type = 'purchase'"), F.col("ts"))
     return dml.visible(kept.unionByName(forever), F.lit("2024-01-20").cast("timestamp")).select("event_id")
 

@@ -26,6 +26,6 @@ def edges(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["ttl_after_update"])
+@pytest.mark.parametrize("name", ["ttl_after_update", "ttl_visible"])
 def test_lifetimes_at_their_end(spark, edges, name):
     assert differences(spark, edges, registry.QUERIES[name], registry.ORACLE_SQL[name]) == ""
